@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annalith.session import ship
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table, a file or a folder of Parquet files."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
