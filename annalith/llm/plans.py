@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from annalith.llm import distinctive, lookalike, topn
+from annalith.llm import distinctive, lookalike, packing, together, tokens, topn
 from annalith.operators import skew
 from annalith.sources.tables import distinct_year_texts, table
 
@@ -31,6 +31,18 @@ def p2_terms(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of words that stand close together in more articles than chance gives: unlikely under the null model (5 %),
+    then held to the exact definition."""
+    pairs = together.close_pairs(table(spark, folder, "year_history"), "page_id", "text")
+    return pairs.where(f"log10_p <= {-1.301} AND n_ab * baskets >= 8 * n_a * n_b").select("item_a", "item_b")
+
+
+def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """All pairs of words in at least 3 articles and 4 in a thousand, with what chance gives and the false-discovery control."""
+    return together.discoveries(together.close_pairs(table(spark, folder, "year_history"), "page_id", "text")).drop("items")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """The three articles with the most added and removed occurrences, of every (year, word) with at least 5 records."""
     last = F.col("last")
@@ -45,6 +57,17 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return topn.placed(tops, ["year", "word"], ["added", "removed"]).select("year", "word", "side", "place_no", F.col("item").alias("article"))
 
 
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document."""
+    return tokens.encode_texts(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p9_packs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in containers of each capacity, by its number of tokens."""
+    sizes = tokens.count_tokens(table(spark, folder, "documents"), "doc_id", "text")
+    return packing.pack_items(sizes, table(spark, folder, "pack_sizes"), "doc_id", "tokens", "pack_id", "capacity")
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of documents that look the same and are not equal."""
     return lookalike.pairs(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text")
@@ -56,7 +79,9 @@ def p10_forms(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "class_id", (F.col("text") == F.col("canonical")).alias("is_canonical"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_terms": p2_terms, "p6_found": p6_found, "p10_found": p10_found, "p10_forms": p10_forms}
+QUERIES = {
+    f.__name__: f for f in (p2_found, p2_terms, p4_found, p4_pairs, p6_found, p8_ids, p9_packs, p10_found, p10_forms)
+}
 
 _TERMS = """
 t AS (SELECT page_id, year, max(text) AS text FROM year_history WHERE page_id IS NOT NULL AND year IS NOT NULL GROUP BY page_id, year),
@@ -77,6 +102,17 @@ s AS (SELECT f.page_id, f.year, f.word, f::DOUBLE AS f, n::DOUBLE AS n, c::DOUBL
 z AS (SELECT page_id, year, word, round((ln((f + a) / greatest(n + 500.0 - f - a, 1e-9)) - ln((c - f + a) / greatest(size - n + 500.0 - c + f - a, 1e-9)))
       / sqrt(1 / (f + a) + 1 / (c - f + a)), 4) AS z FROM s)
 SELECT page_id, year, cast(row_number() OVER (PARTITION BY page_id, year ORDER BY z DESC, word) AS INT) AS place_no, word, z FROM z QUALIFY place_no <= 10""",
+    "p4_found": """
+WITH t AS (SELECT DISTINCT page_id, text FROM year_history WHERE page_id IS NOT NULL AND text <> ''),
+i AS (SELECT page_id, regexp_extract_all(lower(text), '[a-z0-9]{5,}') AS a FROM t),
+e AS (SELECT page_id, a, unnest(range(1, len(a) + 1)) AS pos FROM i),
+b AS (SELECT DISTINCT page_id, a[pos] AS x FROM e),
+n AS (SELECT x, count(*) AS n FROM b GROUP BY x),
+p AS (SELECT DISTINCT page_id, least(a[pos], a[pos + gap]) AS x, greatest(a[pos], a[pos + gap]) AS y FROM e, (VALUES (1), (2), (3)) g(gap)
+      WHERE pos + gap <= len(a) AND a[pos] <> a[pos + gap]),
+c AS (SELECT x, y, count(*) AS n FROM p GROUP BY ALL), total AS (SELECT count(DISTINCT page_id) AS n FROM t)
+SELECT c.x AS item_a, c.y AS item_b FROM c JOIN n a ON a.x = c.x JOIN n b ON b.x = c.y, total
+WHERE c.n >= 3 AND c.n >= 0.004 * total.n AND c.n * total.n >= 8 * a.n * b.n""",
     "p6_found": """
 WITH r0 AS (SELECT year, regexp_replace(lower(word), '[^a-z0-9]', '', 'g') AS word, article, coalesce(added, 0) AS added, coalesce(removed, 0) AS removed, emitted_at
             FROM diff_emits WHERE article IS NOT NULL),
