@@ -7,11 +7,23 @@ on both sides, and a term that is rare has a large standard error unless the rec
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from annalith.session import checkpointed
 
+#: Entries a task gathers before it hands them on; they are added up afterwards.
+HELD = 500_000
 #: Pseudo-counts of the prior in all, about the length of a record.
 PRIOR = 500.0
+# Kinds of rows that reading the texts gives.
+COLLECTION, SCORED, GROUP = 0, 1, 2
 
 
 def term_scores(texts: DataFrame, group: str, record: str, text: str, min_length: int = 3, min_count: int = 1, prior: float = PRIOR) -> DataFrame:
@@ -24,26 +36,75 @@ def term_scores(texts: DataFrame, group: str, record: str, text: str, min_length
     texts without a term, are no records and give no rows; a null group or record is left out. A group with one record has
     no rest: all its z are about 0.
 
+    Each text is read once and gives its terms' counts, of which the collection's part is added up before the shuffle.
     Nothing is broadcast: a group's totals, one number pair for each group, come in as a scalar subquery, and terms are
     joined by (group, term), where the collection's side has one row for each key.
     """
-    runs = F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"([a-z0-9]{{{min_length},}})"), 1)
-    records = (
-        texts.where(F.col(group).isNotNull() & F.col(record).isNotNull() & F.col(text).isNotNull())
-        .select(F.col(group).alias("g"), F.col(record).alias("r"), runs.alias("terms"))
-        .where(F.size("terms") > 0)
-        .select("g", "r", "terms", F.size("terms").alias("n"))
+    source = texts.where(F.col(group).isNotNull() & F.col(record).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(group).alias("g"), F.col(record).alias("r"), F.col(text).alias("text")
     )
-    counted = records.select("g", "r", "n", F.explode("terms").alias("term")).groupBy("g", "r", "n", "term").agg(F.count("*").alias("f"))
-    collection = counted.groupBy("g", "term").agg(F.sum("f").alias("c"), F.count("*").alias("k"))
-    totals = records.groupBy("g").agg(F.count("*").alias("total"), F.sum("n").cast("double").alias("size"))
+    long = lambda *names: [T.StructField(x, T.LongType()) for x in names]
+    schema = T.StructType(
+        [T.StructField("kind", T.IntegerType()), T.StructField("g", source.schema["g"].dataType), T.StructField("r", source.schema["r"].dataType),
+         T.StructField("term", T.StringType()), *long("a", "b", "c")]
+    )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile("[a-z0-9]{%d,}" % min_length).findall
+        counts: dict = {}
+        sizes: dict = {}
+        types = [pa.string(), pa.string()]
+
+        def rows(kind: int, g, r, term, *numbers) -> pa.RecordBatch:
+            n = len(g)
+            columns = [pa.array([kind] * n, pa.int32()), pa.array(g, types[0]), pa.array(r, types[1]) if r else pa.nulls(n, types[1]),
+                       pa.array(term, pa.string()) if term else pa.nulls(n, pa.string())]
+            columns += [pa.array(x, pa.int64()) for x in numbers]
+            columns += [pa.nulls(n, pa.int64())] * (3 - len(numbers))
+            return pa.RecordBatch.from_arrays(columns, ["kind", "g", "r", "term", "a", "b", "c"])
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            for g, (c, k) in counts.items():
+                yield rows(COLLECTION, [g] * len(c), None, list(c), list(c.values()), [k[t] for t in c])
+            counts.clear()
+
+        held = 0
+        for batch in batches:
+            types = [batch.schema.field(0).type, batch.schema.field(1).type]
+            few: list = []
+            for g, r, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                f = Counter(find(t.lower()))
+                if not f:
+                    continue
+                c, k = counts.setdefault(g, (Counter(), Counter()))
+                held -= len(c)
+                for term, n in f.items():
+                    c[term] += n
+                    k[term] += 1
+                held += len(c)
+                n, d = f.total(), len(f)
+                size = sizes.setdefault(g, [0, 0])
+                size[0] += 1
+                size[1] += n
+                few += [(g, r, term, x, n, d) for term, x in f.items() if x >= min_count]
+            if few:
+                yield rows(SCORED, *map(list, zip(*few)))
+            if held > HELD:
+                yield from handed_on()
+                held = 0
+        yield from handed_on()
+        if sizes:
+            yield rows(GROUP, list(sizes), None, None, [x[0] for x in sizes.values()], [x[1] for x in sizes.values()])
+
+    counted = source.mapInArrow(count, schema)
+    if min_count > 1:  # few rows then; otherwise they are more than the texts, which are rather read again
+        counted = checkpointed(counted)
+    collection = counted.where(F.col("kind") == COLLECTION).groupBy("g", "term").agg(F.sum("a").alias("c"), F.sum("b").alias("k"))
+    totals = counted.where(F.col("kind") == GROUP).groupBy("g").agg(F.sum("a").alias("total"), F.sum("b").cast("double").alias("size"))
     by_group = totals.agg(F.map_from_entries(F.collect_list(F.struct("g", F.struct("total", "size")))).alias("m"))
-    # d is taken where the terms are still an array; (g, r, n, term) keeps the partitioning by record
     scored = (
-        records.select("g", "r", "n", F.size(F.array_distinct("terms")).alias("d"), F.explode("terms").alias("term"))
-        .groupBy("g", "r", "n", "d", "term")
-        .agg(F.count("*").alias("f"))
-        .where(F.col("f") >= min_count)
+        counted.where(F.col("kind") == SCORED)
+        .select("g", "r", "term", F.col("a").alias("f"), F.col("b").alias("n"), F.col("c").alias("d"))
         .join(collection, ["g", "term"])
         .withColumn("of", F.element_at(by_group.scalar(), F.col("g")))
     )
