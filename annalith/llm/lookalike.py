@@ -7,6 +7,7 @@ apart (width, compatibility forms, look-alike letters, kinds of space), the coll
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from functools import lru_cache
@@ -20,11 +21,11 @@ from pyspark.sql import types as T
 CYRILLIC = ("АВСЕНІЈКМОРЅТХҮасеһіјорѕхуԁԛԝԚԜ", "ABCEHIJKMOPSTXYacehijopsxydqwQW")
 GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEZHIKMNOPTYXo")
 # Marks that look like a hyphen, beside the ASCII one.
-HYPHENS = "‐‑⁃−﹣－"
+HYPHENS = "\u2010\u2011\u2043\u2212\ufe63\uff0d"
 #: Compatibility forms that can be told from their plain letters at sight.
 VISIBLE = {"<super>", "<sub>", "<circle>", "<fraction>", "<square>"}
 #: Joiners; between pictographs they are seen.
-JOINERS = "‌‍"
+JOINERS = "\u200c\u200d"
 
 
 @lru_cache(maxsize=1)
@@ -55,17 +56,28 @@ def shapes() -> dict[int, str]:
     return table
 
 
+NOT_ASCII = re.compile("[^\x00-\x7f]+")
+
+
 def same_shape(text: str) -> str:
     """``text`` in the shapes a reader sees, composed."""
     if text.isascii():
         return text
-    table = shapes()
+    return unicodedata.normalize("NFC", NOT_ASCII.sub(_run_shape, text))
+
+
+def _run_shape(found: re.Match) -> str:
+    return run_shape(found.group())
+
+
+@lru_cache(maxsize=100_000)
+def run_shape(run: str) -> str:
     # accents are split off first, so that a letter with its accent is mapped as its bare letter is; twice, as a
     # compatibility form can stand for a look-alike letter
-    s = unicodedata.normalize("NFD", text).translate(table)
-    if "‌" in s or "‍" in s:
+    s = unicodedata.normalize("NFD", run).translate(shapes())
+    if "\u200c" in s or "\u200d" in s:
         s = "".join(c for i, c in enumerate(s) if c not in JOINERS or pictograph(s[i - 1 : i]) and pictograph(s[i + 1 : i + 2]))
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", s).translate(table))
+    return unicodedata.normalize("NFD", s).translate(shapes())
 
 
 def pictograph(ch: str) -> bool:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from annalith.llm import distinctive, lookalike, packing, together, tokens, topn
+from annalith.llm import distinctive, lookalike, packing, sentences, together, tokens, topn
 from annalith.operators import skew
 from annalith.sources.tables import distinct_year_texts, table
 
@@ -43,6 +43,13 @@ def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return together.discoveries(together.close_pairs(table(spark, folder, "year_history"), "page_id", "text")).drop("items")
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Where each sentence of the requested revisions ends."""
+    asked = table(spark, folder, "split_requests").where("rev_id IS NOT NULL").select("rev_id").distinct()
+    contents = table(spark, folder, "revisions").select("rev_id", "content").join(asked, "rev_id", "left_semi")
+    return sentences.split_sentences(contents, "rev_id", "content")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """The three articles with the most added and removed occurrences, of every (year, word) with at least 5 records."""
     last = F.col("last")
@@ -80,7 +87,7 @@ def p10_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (p2_found, p2_terms, p4_found, p4_pairs, p6_found, p8_ids, p9_packs, p10_found, p10_forms)
+    f.__name__: f for f in (p2_found, p2_terms, p4_found, p4_pairs, p5_found, p6_found, p8_ids, p9_packs, p10_found, p10_forms)
 }
 
 _TERMS = """
