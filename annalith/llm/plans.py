@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from annalith.llm import distinctive, lookalike, packing, sentences, together, tokens, topn
+from annalith.llm import distinctive, lookalike, markup, packing, sentences, together, tokens, topn
 from annalith.operators import skew
 from annalith.sources.tables import distinct_year_texts, table
 
@@ -31,6 +31,27 @@ def p2_terms(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _marked_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """src, page_id, row_ref, text of the revisions and of the year-end texts."""
+    revisions = table(spark, folder, "revisions").where("rev_id IS NOT NULL").select(
+        F.lit("revisions").alias("src"), "page_id", F.col("rev_id").alias("row_ref"), F.col("content").alias("text")
+    )
+    history = table(spark, folder, "year_history").select(
+        F.lit("year_history").alias("src"), "page_id", F.col("year").cast("string").alias("row_ref"), "text"
+    )
+    return revisions.unionByName(history)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows whose text has markup of any language."""
+    return markup.clean_texts(_marked_rows(spark, folder), "text").where("size(markup) > 0").select("src", "page_id", "row_ref").distinct()
+
+
+def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row with its clean text, the markup languages found and its blocks."""
+    return markup.clean_texts(_marked_rows(spark, folder), "text").select("src", "page_id", "row_ref", "clean_text", "markup", "blocks")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of words that stand close together in more articles than chance gives: unlikely under the null model (5 %),
     then held to the exact definition."""
@@ -87,7 +108,7 @@ def p10_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (p2_found, p2_terms, p4_found, p4_pairs, p5_found, p6_found, p8_ids, p9_packs, p10_found, p10_forms)
+    f.__name__: f for f in (p2_found, p2_terms, p3_found, p3_clean, p4_found, p4_pairs, p5_found, p6_found, p8_ids, p9_packs, p10_found, p10_forms)
 }
 
 _TERMS = """
