@@ -101,7 +101,7 @@ def first_sentence(paragraph: Column) -> Column:
     """The text up to the first mark that ends a sentence and doesn't follow an abbreviation; null if there is none."""
     words_ = "|".join(a.replace(".", r"\.") for a in sorted(C.ABBREVIATIONS, key=len, reverse=True))
     pattern = rf"^(.*?(?<!(?i)(?:^|\x20)(?:{words_})){_SENTENCE_END})"
-    found = F.regexp_extract(paragraph, F.lit(pattern), 1)
+    found = F.regexp_extract(paragraph, pattern, 1)
     return F.when(found != "", trim(found))
 
 
@@ -120,11 +120,11 @@ def wiki_links(text: Column) -> Column:
 
 def ngrams(terms: Column, most: int = 3) -> Column:
     """All runs of 1 to ``most`` consecutive terms, joined by blanks; incomplete tails are left out."""
-    parts = []
-    for n in range(1, most + 1):
-        shifted = [F.slice(terms, F.lit(i + 1), F.greatest(F.size(terms) - n + 1, F.lit(0))) for i in range(n)]
-        parts.append(F.transform(F.arrays_zip(*(s.alias(f"t{i}") for i, s in enumerate(shifted))), lambda x, n=n: F.concat_ws(" ", *(x[f"t{i}"] for i in range(n)))))
-    return F.concat(*parts)
+    def runs_of(n: int) -> Column:
+        shifted = [F.slice(terms, F.lit(i + 1), F.greatest(F.size(terms) - n + 1, F.lit(0))).alias(f"t{i}") for i in range(n)]
+        return F.transform(F.arrays_zip(*shifted), lambda x: F.concat_ws(" ", *(x[f"t{i}"] for i in range(n))))
+
+    return F.concat(*(runs_of(n) for n in range(1, most + 1)))
 
 
 def legacy_terms(text: Column, stop: Sequence[str] = C.STOP_BASE) -> Column:
