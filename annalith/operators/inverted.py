@@ -49,7 +49,7 @@ def from_lines(lines: DataFrame, column: str = "value") -> DataFrame:
 
     Blank lines are left out.
     """
-    parts = F.transform(F.split(column, r"\|"), F.trim)
+    parts = F.transform(F.split(column, r"\|"), lambda x: F.trim(x))
     local = F.array(F.struct(F.get("p", F.lit(2)).alias("url"), F.get("p", F.lit(1)).try_cast("long").alias("freq")))
     flat = F.filter(F.split(F.coalesce(F.get("p", F.lit(1)), F.lit("")), r"\s+"), lambda x: x != "")
     pairs = F.transform(
