@@ -24,8 +24,8 @@ GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEZHIKMNOPTYXo")
 HYPHENS = "\u2010\u2011\u2043\u2212\ufe63\uff0d"
 #: Compatibility forms that can be told from their plain letters at sight.
 VISIBLE = {"<super>", "<sub>", "<circle>", "<fraction>", "<square>"}
-#: Joiners; between pictographs they are seen.
-JOINERS = "\u200c\u200d"
+#: Joiners; between pictographs they are seen, and have a sign of their own, as the collation passes over them.
+JOINERS, JOINED = "\u200c\u200d", "\ue000"
 
 
 @lru_cache(maxsize=1)
@@ -76,7 +76,8 @@ def run_shape(run: str) -> str:
     # compatibility form can stand for a look-alike letter
     s = unicodedata.normalize("NFD", run).translate(shapes())
     if "\u200c" in s or "\u200d" in s:
-        s = "".join(c for i, c in enumerate(s) if c not in JOINERS or pictograph(s[i - 1 : i]) and pictograph(s[i + 1 : i + 2]))
+        seen = lambda i: pictograph(s[i - 1 : i]) and pictograph(s[i + 1 : i + 2])
+        s = "".join(c if c not in JOINERS else JOINED if seen(i) else "" for i, c in enumerate(s))
     return unicodedata.normalize("NFD", s).translate(shapes())
 
 

@@ -206,7 +206,7 @@ def decode_ids(df: DataFrame, ident: str, ids: str, name: str = "byte_bpe_50k",
         .join(F.broadcast(rows), "rank")
         .groupBy("id")
         .agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("parts"))
-        .select("id", F.decode(F.unhex(F.array_join(F.transform("parts", lambda x: x["token"]), "")), F.lit("UTF-8")).alias("text"))
+        .select("id", F.decode(F.unhex(F.array_join(F.transform("parts", lambda x: x["token"]), "")), "UTF-8").alias("text"))
     )
     empty = df.where(F.col(ids).isNull() | (F.size(ids) == 0)).select(F.col(ident).alias("id"), F.when(F.col(ids).isNotNull(), "").alias("text"))
     return spelled.unionByName(empty).select(F.col("id").alias(ident), "text")
