@@ -97,9 +97,9 @@ def classes(df: DataFrame, text: str) -> DataFrame:
     has a null class. Blank texts are classed like others. Columns of ``df`` named like the new ones are replaced; repeated
     rows stay.
     """
-    return df.drop("class_id", "canonical").join(
-        variants(df, text).select(F.col("variant"), "class_id", "canonical"), F.md5(F.col(text)) == F.col("variant"), "left"
-    ).drop("variant")
+    of_text = variants(df, text).select(F.col("variant").alias("_of_text"), "class_id", "canonical")
+    kept = df.drop("class_id", "canonical", "_of_text")
+    return kept.join(of_text, F.md5(F.col(text)) == F.col("_of_text"), "left").drop("_of_text")
 
 
 def variants(df: DataFrame, text: str) -> DataFrame:
