@@ -13,6 +13,11 @@ from annalith import constants as C
 WS = r"[\s\x{A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` evaluated once however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def runs(text: Column, min_length: int) -> Column:
     """The longest runs of a-z and 0-9 of at least ``min_length`` characters in the lower-cased text; null gives null."""
     return F.regexp_extract_all(F.lower(text), F.lit(f"([a-z0-9]{{{min_length},}})"), 1)
@@ -85,31 +90,38 @@ def plain_text(text: Column, order: Sequence[str] = DEFINITION_ORDER) -> Column:
 
 def first_paragraph(text: Column) -> Column:
     """The first line and those after it up to an empty one or one that begins a block; white space as one blank."""
-    lines = F.transform(F.split(text, "\n"), trim)
-    rest = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
-    stop = F.array_position(F.transform(rest, lambda x: (x == "") | x.rlike(r"^[=#*:;|]")), True).cast("int")
-    kept = F.when(stop > 0, F.slice(rest, F.lit(1), stop - 1)).otherwise(rest)
-    joined = trim(F.regexp_replace(F.array_join(F.concat(F.slice(lines, 1, 1), kept), " "), rf"{WS}+", " "))
-    return F.when(joined != "", joined)
+
+    def of_lines(lines: Column) -> Column:
+        rest = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
+        stop = F.array_position(F.transform(rest, lambda x: (x == "") | x.rlike(r"^[=#*:;|]")), True).cast("int")
+        kept = let(stop, lambda n: F.when(n > 0, F.slice(rest, F.lit(1), n - 1)).otherwise(rest))
+        return F.nullif(trim(F.regexp_replace(F.array_join(F.concat(F.slice(lines, 1, 1), kept), " "), rf"{WS}+", " ")), F.lit(""))
+
+    return let(F.transform(F.split(text, "\n"), trim), of_lines)
 
 
-# A mark before the end or a blank, then nothing or a capital, quotation mark or bracket behind further blanks.
-_SENTENCE_END = r"[.!?](?=$|\x20(?:\x20*$|\x20*[A-Z\"(\[]))"
+# What follows a mark that ends a sentence: the end, or a blank and then nothing, a capital, quotation mark or bracket.
+_AFTER = r"(?=$|\x20(?:\x20*$|\x20*[A-Z\"(\[]))"
 
 
 def first_sentence(paragraph: Column) -> Column:
-    """The text up to the first mark that ends a sentence and doesn't follow an abbreviation; null if there is none."""
+    """The text up to the first mark that ends a sentence and doesn't follow an abbreviation; null if there is none.
+
+    The expression goes from mark to mark, and looks back for abbreviations only there.
+    """
     words_ = "|".join(a.replace(".", r"\.") for a in sorted(C.ABBREVIATIONS, key=len, reverse=True))
-    pattern = rf"^(.*?(?<!(?i)(?:^|\x20)(?:{words_})){_SENTENCE_END})"
-    found = F.regexp_extract(paragraph, pattern, 1)
-    return F.when(found != "", trim(found))
+    pattern = rf"^((?:[^.!?]*+[.!?])+?(?<!(?i)(?:^|\x20)(?:{words_})[.!?]){_AFTER})"
+    return F.nullif(trim(F.regexp_extract(paragraph, pattern, 1)), F.lit(""))
 
 
 def definition(text: Column) -> Column:
     """The first sentence of a wiki text, else its first paragraph, shortened to 500 characters and an ellipsis."""
-    paragraph = first_paragraph(plain_text(text))
-    short = F.when(F.length(paragraph) > C.EXCERPT, F.concat(F.substring(paragraph, 1, C.EXCERPT), F.lit("…"))).otherwise(paragraph)
-    return F.coalesce(first_sentence(paragraph), short)
+
+    def of_paragraph(p: Column) -> Column:
+        short = F.when(F.length(p) > C.EXCERPT, F.concat(F.substring(p, 1, C.EXCERPT), F.lit("…"))).otherwise(p)
+        return F.coalesce(first_sentence(p), short)
+
+    return let(first_paragraph(plain_text(text)), of_paragraph)
 
 
 def wiki_links(text: Column) -> Column:

@@ -73,9 +73,8 @@ def embeddings(
     hashed = counts.select("neighbour").distinct().select("neighbour", slot.alias("slot"), sign.alias("sign"))
     weighted = counts.join(hashed, "neighbour").withColumn("weight", F.log1p("count") * F.col("sign"))
     feature = F.transform(F.filter(F.array_sort(F.collect_list(F.struct("r", "neighbour", "count"))), lambda x: x["r"] <= features), lambda x: F.struct(x["neighbour"].alias("feature"), x["count"].alias("weight")))
-    parts = F.collect_list(F.struct("slot", "weight"))  # `most` of them at most
-    at = lambda i: F.aggregate(F.filter(parts, lambda p: p["slot"] == i), F.lit(0.0), lambda s, p: s + p["weight"])
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), at)
+    at = lambda i: F.coalesce(F.sum(F.when(F.col("slot") == i, F.col("weight"))), F.lit(0.0))
+    raw = F.array(*(at(i) for i in range(dimension)))
     grouped = weighted.groupBy("year", "word").agg(raw.alias("raw"), F.count("*").cast("int").alias("feature_count"), feature.alias("top_features"))
     length = V.norm(F.col("raw"))
     return grouped.withColumn("norm", length).select(

@@ -26,8 +26,11 @@ def with_block(df: DataFrame, at: str, blocks: int = BLOCKS) -> DataFrame:
 
 
 def numbered(df: DataFrame, key: str, at: str, order: Sequence[str | Column], blocks: int = BLOCKS) -> DataFrame:
-    """``df`` with ``number``, from 1 along (``at``, ``order``) within the key, and ``count``, the key's rows."""
-    cut = with_block(df, at, blocks)
+    """``df`` with ``number``, from 1 along (``at``, ``order``) within the key, and ``count``, the key's rows.
+
+    Null keys form a group; columns of these names are replaced.
+    """
+    cut = with_block(df.drop("number", "count"), at, blocks)
     inside = Window.partitionBy(key, "_block").orderBy(at, *order)
     by_block = Window.partitionBy(key).orderBy("_block")
     sizes = (
@@ -45,8 +48,11 @@ def numbered(df: DataFrame, key: str, at: str, order: Sequence[str | Column], bl
 
 
 def with_previous(df: DataFrame, key: str, at: str, order: Sequence[str], values: Sequence[str], blocks: int = BLOCKS) -> DataFrame:
-    """``df`` with ``previous``, a struct of ``values`` in the row before along (``at``, ``order``); null at a key's start."""
-    cut = with_block(df, at, blocks)
+    """``df`` with ``previous``, a struct of ``values`` in the row before along (``at``, ``order``); null at a key's start.
+
+    A column of this name is replaced.
+    """
+    cut = with_block(df.drop("previous"), at, blocks)
     inside = Window.partitionBy(key, "_block").orderBy(at, *order)
     value = F.struct(*values)
     ends = (

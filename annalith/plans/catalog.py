@@ -18,6 +18,7 @@ from annalith.operators import search as S
 from annalith.operators import semantics as M
 from annalith.operators import store as K
 from annalith.operators import temporal as T
+from annalith.session import checkpointed
 from annalith.sources.tables import distinct_year_texts, table
 
 QUERIES: dict = {}
@@ -213,7 +214,8 @@ def cooccurrence(spark, d):
 
 
 def _embeddings(spark, d) -> DataFrame:
-    return M.embeddings(M.cooccurrence(texts(spark, d)))
+    """The embeddings as a written table, since what follows reads them more than once."""
+    return checkpointed(M.embeddings(M.cooccurrence(texts(spark, d))))
 
 
 @query(f"WITH {EMB} SELECT year, word, slot::INT AS slot, round(v, 6) + 0.0 AS v, round(norm, 6) AS norm FROM z WHERE abs(v) > 1e-9")
