@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from annalith import constants as C
-from annalith.functions.text import runs
+from annalith.functions.text import runs, words
 
 
 def term_frequency(texts: DataFrame, stop: Sequence[str] = C.STOP_SEARCH, min_length: int = 3) -> DataFrame:
@@ -32,13 +32,19 @@ def tfidf(texts: DataFrame, corpus: int = C.CORPUS_SIZE, cap: int = C.POSTINGS_C
     of records. Of records with one title the highest counts; ``doc_count`` is the number of titles. The ``cap`` best
     postings are kept, ties by title. Scores are rounded to 6 places before they are ranked.
     """
-    counts = term_frequency(texts)
-    terms = counts.groupBy("page_id", "title", "year").agg(F.count("*").alias("terms"))  # keeps the partitioning of counts
-    words = counts.groupBy("year", "word").agg(F.count("*").alias("records")).where("records >= 2")
+    split = texts.select("page_id", F.coalesce("title", "page_id").alias("title"), "year", words(F.col("text"), 3, C.STOP_SEARCH).alias("w")).withColumn(
+        "distinct", F.array_distinct("w")
+    )
+    counts = (
+        split.withColumn("terms", F.size("distinct"))
+        .select("page_id", "title", "year", "terms", F.explode("w").alias("word"))
+        .groupBy("page_id", "title", "year", "terms", "word")
+        .agg(F.count("*").alias("n"))
+    )
+    records = split.select("year", F.explode("distinct").alias("word")).groupBy("year", "word").agg(F.count("*").alias("records")).where("records >= 2")
     idf = F.log(F.lit(float(corpus)) / F.col("records"))
     postings = (
-        counts.join(terms, ["page_id", "title", "year"])
-        .join(words, ["year", "word"])
+        counts.join(records, ["year", "word"])
         .groupBy("year", "word", "records", "title")
         .agg(F.round(F.max(F.col("n") / F.col("terms") * idf), 6).alias("tfidf"))
     )
