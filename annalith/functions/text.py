@@ -148,3 +148,14 @@ def legacy_terms(text: Column, stop: Sequence[str] = C.STOP_BASE) -> Column:
 def file_name(title: Column) -> Column:
     """A title as a file name: what isn't a letter, digit, point, hyphen or underscore becomes an underscore."""
     return F.regexp_replace(title, r"[^a-zA-Z0-9._-]", "_")
+
+
+def first_filled(*texts: Column) -> Column:
+    """The first of the texts that is neither null nor empty, else an empty text."""
+    return F.coalesce(*(F.nullif(t, F.lit("")) for t in texts), F.lit(""))
+
+
+def query_string(params: Column) -> Column:
+    """A map of parameters as the query part of an address; null and empty values are left out."""
+    kept = F.map_filter(params, lambda _, v: v.isNotNull() & (v != ""))
+    return F.array_join(F.transform(F.map_entries(kept), lambda e: F.concat(F.url_encode(e["key"]), F.lit("="), F.url_encode(e["value"]))), "&")

@@ -34,6 +34,15 @@ def short_key(key: Column) -> Column:
     return F.substring(key, 1, 5)
 
 
+def key_parts(key: Column, names: Sequence[str]) -> list[Column]:
+    """The parts of a colon-separated key as columns; the last name gets all that is left, colons included.
+
+    A key with fewer parts gives nulls.
+    """
+    parts = F.split(key, ":", len(names))
+    return [F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)]
+
+
 def put(df: DataFrame, rows: DataFrame, key: Sequence[str]) -> DataFrame:
     """``df`` with ``rows`` in place of the rows of their keys; null keys match each other. Columns are matched by name."""
     same = [df[k].eqNullSafe(rows[k]) for k in key]

@@ -13,6 +13,7 @@ from annalith.operators import definitions as D
 from annalith.operators import frontier as FR
 from annalith.operators import inverted as I
 from annalith.operators import mapreduce as MR
+from annalith.operators import placement as PL
 from annalith.operators import revisions as R
 from annalith.operators import search as S
 from annalith.operators import semantics as M
@@ -534,6 +535,26 @@ def content_ids(spark, d):
     return rows.select("page_id", key.alias("id"), K.short_key(key).alias("short"))
 
 
+_NODES = sorted(PL.node_id(f"10.0.0.{i}", 8080) for i in range(1, 6))
+
+
+@query(f"""WITH k AS (SELECT DISTINCT page_id, sha256('"' || page_id || '"') AS id FROM articles WHERE page_id IS NOT NULL),
+n AS (SELECT unnest([{quoted(_NODES)}]) AS node),
+w AS (SELECT page_id, arg_max(node, sha256(id || node)) AS weight FROM k, n GROUP BY page_id),
+r AS (SELECT page_id, coalesce(min(node) FILTER (node >= id), '{_NODES[0]}') AS ring FROM k, n GROUP BY page_id)
+SELECT page_id, id, ring, weight FROM k JOIN w USING (page_id) JOIN r USING (page_id)""")
+def placements(spark, d):
+    rows = K.keys(table(spark, d, "articles"), "page_id").withColumn("id", PL.key_id(F.col("page_id")))
+    return rows.select("page_id", "id", PL.on_ring(F.col("id"), _NODES).alias("ring"), PL.by_weight(F.col("id"), _NODES).alias("weight"))
+
+
+@query("""SELECT DISTINCT split_part(k, ':', 1) AS family, cast(split_part(k, ':', 2) AS INT) AS year, substr(k, 7 + length(split_part(k, ':', 2))) AS word
+FROM (SELECT 'diff:' || year || ':' || word AS k FROM diff_emits WHERE word IS NOT NULL AND year IS NOT NULL)""")
+def key_parts(spark, d):
+    rows = table(spark, d, "diff_emits").where("word IS NOT NULL AND year IS NOT NULL").select(F.concat_ws(":", F.lit("diff"), "year", "word").alias("k"))
+    return rows.select(*K.key_parts(F.col("k"), ["family", "year", "word"])).withColumn("year", F.col("year").cast("int")).distinct()
+
+
 _COUNTS = "SELECT word, count(*) AS n FROM diff_emits WHERE word IS NOT NULL AND year = {y} GROUP BY word"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from annalith.functions.text import is_article, wiki_links
+from annalith.functions.text import file_name, is_article, wiki_links
 
 _S = T.StringType()
 PAGE = T.StructType(
@@ -66,3 +66,8 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
 def write_state(frontier: DataFrame, path: str) -> None:
     """Save a frontier's keys by status; Spark's commit protocol makes the replacement atomic for readers."""
     frontier.select("key", "status").write.mode("overwrite").json(path)
+
+
+def write_articles(articles: DataFrame, path: str) -> None:
+    """Write articles (page_id, title, ...) as JSON lines, with the title as a file name beside them in ``name``."""
+    articles.withColumn("name", file_name(F.col("title"))).write.mode("overwrite").json(path)
