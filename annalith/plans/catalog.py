@@ -261,15 +261,23 @@ def alignment(spark, d):
     )
 
 
-@query()
+@query(f"WITH {EMB} SELECT slot::INT AS row_no, c::INT AS column_no, CASE WHEN c = slot THEN sign ELSE 0 END AS value FROM sg, range({C.DIMENSION}) r(c)")
 def alignment_matrix(spark, d):
     rows = M.alignment(M.shared_vocabulary(_embeddings(spark, d), BASE, TARGET))
-    return rows.select("dimension", V.diagonal(F.col("signs")).alias("matrix"))
+    return rows.select(F.posexplode(V.diagonal(F.col("signs"))).alias("row_no", "r")).select("row_no", F.posexplode("r").alias("column_no", "value"))
 
 
-@query()
+@query(f"""WITH {EMB},
+nx AS (SELECT year AS b, lead(year) OVER (ORDER BY year) AS t FROM (SELECT DISTINCT year FROM m)),
+sw AS (SELECT b, t, x.word FROM nx JOIN m x ON x.year = b JOIN m w ON w.year = t AND w.word = x.word),
+sv AS (SELECT b, t, word, slot, sum(CASE WHEN year = b THEN v ELSE 0 END) AS av, sum(CASE WHEN year = t THEN v ELSE 0 END) AS bv FROM sw JOIN z USING (word) WHERE z.year IN (b, t) GROUP BY ALL),
+ss AS (SELECT b, t, dim AS slot, CASE WHEN coalesce(sum(round(av * bv, 12)), 0) < 0 THEN -1 ELSE 1 END AS sign
+       FROM (SELECT DISTINCT b, t, dim FROM sw, range({C.DIMENSION}) r(dim)) g LEFT JOIN sv ON sv.b = g.b AND sv.t = g.t AND sv.slot = dim GROUP BY ALL),
+sd AS (SELECT b, t, count(DISTINCT word) AS n, sum((av - bv * sign) * (av - bv * sign)) AS q FROM sv JOIN ss USING (b, t, slot) GROUP BY ALL)
+SELECT b AS base_year, t AS target_year, n AS shared_vocab_size, round(q / n, 6) AS disparity, (SELECT string_agg(sign, ' ' ORDER BY slot) FROM ss WHERE ss.b = sd.b AND ss.t = sd.t) AS signs FROM sd""".replace("SELECT b, t, dim AS slot", "SELECT g.b, g.t, dim AS slot"))
 def align_all_pairs(spark, d):
-    return M.align_all(_embeddings(spark, d)).withColumn("disparity", F.round("disparity", 6))
+    signs = F.array_join(F.transform("signs", lambda s: s.cast("string")), " ")
+    return M.align_all(_embeddings(spark, d)).withColumns({"disparity": F.round("disparity", 6), "signs": signs})
 
 
 @query(f"""WITH {EMB},
@@ -479,7 +487,16 @@ def plain_text_dump(spark, d):
     return history(spark, d, "content").where("content <> ''").select("page_id", "rev_id", X.plain_text(F.col("content"), X.DUMP_ORDER).alias("plain"))
 
 
-@query()
+_ENDS = f"""list_filter(range(1, length(par) + 1), lambda i: par[i] IN ('.', '!', '?') AND (i = length(par) OR par[i + 1] = ' ')
+  AND (ltrim(par[i + 2:]) = '' OR regexp_matches(ltrim(par[i + 2:]), '^[A-Z"(\\[]')) AND lower(regexp_extract(par[1:i - 1], '([^ ]*)$', 1)) NOT IN ({quoted(C.ABBREVIATIONS)}))[1]"""
+
+
+@query(rf"""WITH {Y}, p AS (SELECT page_id, year, coalesce(title, '') AS title, {_strip_sql('text', X.DEFINITION_ORDER)} AS plain FROM y WHERE text <> '' AND year BETWEEN {C.FIRST_YEAR} AND {C.LAST_YEAR}),
+l AS (SELECT *, list_transform(string_split(plain, chr(10)), lambda x: trim(x, E' \t\r\n')) AS l FROM p),
+n AS (SELECT *, coalesce(nullif(list_position(list_transform(l[2:], lambda x: x = '' OR regexp_matches(x, '^[=#*:;|]')), true), 0), len(l)) - 1 AS n FROM l),
+g AS (SELECT page_id, year, title, trim(regexp_replace(array_to_string(l[1:1] || l[2:][1:n], ' '), '\s+', ' ', 'g')) AS par FROM n),
+e AS (SELECT *, {_ENDS} AS stop FROM g WHERE par <> '')
+SELECT year, title, arg_min(CASE WHEN stop IS NOT NULL THEN trim(par[1:stop]) WHEN length(par) > {C.EXCERPT} THEN par[1:{C.EXCERPT}] || '…' ELSE par END, page_id) AS sentence FROM e GROUP BY year, title""")
 def definition(spark, d):
     return D.definitions(texts(spark, d))
 
@@ -650,7 +667,18 @@ def frontier_seeded(spark, d):
     return FR.seed(frontier(spark, d), table(spark, d, "documents").select("title").where("title IS NOT NULL")).select("key", "status", "depth")
 
 
-@query()
+_SHOWN = "trim(translate(dst, '_', ' '))"
+
+
+def _key_sql(c: str) -> str:
+    return _KEY.format(c=c).replace(f"translate({c}, '_', ' ')", c)
+
+
+@query(rf"""WITH RECURSIVE {Y}, l AS (SELECT title AS src, unnest(list_transform(regexp_extract_all(text, '\[\[([^\]|#]+)([|#][^\]]+)?\]\]', 1), lambda x: trim(x))) AS dst FROM y WHERE text <> '' AND title IS NOT NULL),
+e AS (SELECT DISTINCT {_key_sql('src')} AS src, {_key_sql('dst')} AS key FROM l WHERE dst <> '' AND NOT regexp_matches(dst, '^({"|".join(C.DUMP_PREFIXES)})')
+      AND NOT regexp_matches({_SHOWN}, '^({"|".join(C.CRAWL_PREFIXES)})') AND NOT regexp_matches({_SHOWN}, '{"|".join(C.CRAWL_PATTERNS)}', 'i')),
+b(key, depth) AS (SELECT DISTINCT {_key_sql('title')}, 0 FROM year_history WHERE year = 2008 AND title IS NOT NULL UNION SELECT e.key, depth + 1 FROM b JOIN e ON e.src = b.key WHERE depth < 4)
+SELECT key, min(depth) AS depth FROM b WHERE key <> '' GROUP BY key""")
 def crawl_bfs(spark, d):
     seeds = table(spark, d, "year_history").where("year = 2008 AND title IS NOT NULL").select("title")
     return FR.traverse(_edges(spark, d), seeds, max_depth=4)
