@@ -1,0 +1,31 @@
+"""Bounded samples for fitting."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+_SPAN = 1 << 30
+
+
+def smallest_hashes(df: DataFrame, text: str, most: int, group: Column | None = None) -> list[str]:
+    """At most ``most`` distinct texts of each group, those of smallest hash; so the sample doesn't depend on row order.
+
+    Groups are few (kinds, scripts). They are counted first, and only rows whose hash is small enough for about three times
+    the sample leave their tasks, so what is sorted and what reaches the driver stay bounded whatever the size of ``df``.
+    """
+    rows = df.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), (group if group is not None else F.lit("all")).alias("g"))
+    counts = {r["g"]: r["n"] for r in rows.groupBy("g").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return []
+    share = F.create_map(*(F.lit(x) for g, n in counts.items() for x in (str(g), min(_SPAN, -(-3 * most * _SPAN // n)))))
+    order = Window.partitionBy("g").orderBy("h", "text")
+    chosen = (
+        rows.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(_SPAN)))
+        .where(F.col("h") < F.element_at(share, F.coalesce(F.col("g").cast("string"), F.lit("None"))))
+        .distinct()
+        .withColumn("r", F.row_number().over(order))
+        .where(F.col("r") <= most)
+    )
+    return sorted(r["text"] for r in chosen.select("text").collect())
