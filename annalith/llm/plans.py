@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from annalith.llm import distinctive, lookalike, markup, packing, sentences, together, tokens, topn
 from annalith.operators import skew
+from annalith.session import checkpointed
 from annalith.sources.tables import distinct_year_texts, table
 
 
@@ -65,10 +66,13 @@ def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Where each sentence of the requested revisions ends."""
+    """Where each sentence of the requested revisions ends.
+
+    The requested contents are written once, as they are counted, sampled and split.
+    """
     asked = table(spark, folder, "split_requests").where("rev_id IS NOT NULL").select("rev_id").distinct()
     contents = table(spark, folder, "revisions").select("rev_id", "content").join(asked, "rev_id", "left_semi")
-    return sentences.split_sentences(contents, "rev_id", "content")
+    return sentences.split_sentences(checkpointed(contents), "rev_id", "content")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
