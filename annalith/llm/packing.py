@@ -74,7 +74,7 @@ def pack_items(
     0 lies in a container without using room. ``packs`` is a small table of capacities, of a fixed number of rows (1,000 at
     most, or an error); a capacity that is null or under 1 is left out. Only items larger than the capacity are cut, into
     pieces of the whole capacity and a rest. The result depends on the items alone, not on how rows are spread: an item's
-    part is a hash of its identifier, and parts are packed in the order of identifiers. Empty inputs give an empty result.
+    part is a hash of its identifier, and parts are packed in the order of identifiers (as text; a null one is one like others). Empty inputs give an empty result.
 
     A part leaves at most ``windows`` windows for each pack, so parts x windows of them are merged for each pack, and the
     table of merged windows that is broadcast has at most that many rows for each pack.
@@ -84,7 +84,7 @@ def pack_items(
         raise ValueError("more than 1,000 capacities")
     kind = items.schema[ident].dataType.simpleString()
     pack_kind = packs.schema[pack].dataType.simpleString()
-    schema = f"pack {pack_kind}, window string, item {kind}, start int, length int, open boolean"
+    schema = f"pack {pack_kind}, window string, item string, start int, length int, open boolean"
 
     def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, packers, last = None, {}, {}
@@ -108,7 +108,7 @@ def pack_items(
         yield rows_of(leftovers())
 
     spread = (
-        items.select(F.col(ident).alias("item"), F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).alias("size"))
+        items.select(F.col(ident).cast("string").alias("item"), F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).alias("size"))
         .withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts)).cast("int"))
         .repartition(parts, "part")
         .sortWithinPartitions("part", "item")
@@ -125,5 +125,5 @@ def pack_items(
     return (
         filled.where("NOT open")
         .join(F.broadcast(homes), ["pack", "window"], "left")
-        .select(F.col("pack").alias(pack), F.coalesce("home", "window").alias("container"), F.col("item").alias(ident), "start", "length")
+        .select(F.col("pack").alias(pack), F.coalesce("home", "window").alias("container"), F.col("item").cast(kind).alias(ident), "start", "length")
     )

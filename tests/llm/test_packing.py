@@ -33,6 +33,9 @@ def test_packs(spark):
         load = check(items, [(x.container, x.doc_id, x.start, x.length) for x in out if x.pack_id == pack], capacity)
         assert total > 0.95 * capacity * len(load)
     assert {x.pack_id for x in out} == {1, 2}
+    odd = df.unionByName(spark.createDataFrame([(None, 5, 1, 2), (2**60 + 1, 7, 1, 2)], "doc_id long, size int, window int, open int"))
+    found = packing.pack_items(odd, packs.where("pack_id = 1"), "doc_id", "size", "pack_id", "capacity", parts=8)
+    assert sorted(x.length for x in found.where("doc_id IS NULL OR doc_id > 5000").collect()) == [5, 7] and found.where(f"doc_id = {2**60 + 1}").count() == 1
     again = packing.pack_items(df.repartition(7), packs, "doc_id", "size", "pack_id", "capacity", parts=8).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, out))
 
