@@ -723,10 +723,10 @@ def html_texts(spark, d):
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", U.html_text("text").alias("plain"))
 
 
-@query()
+@query(r"""SELECT DISTINCT page_id, year, url FROM (SELECT DISTINCT page_id, year, unnest(regexp_extract_all(text, '<a\s[^>]*href="([^"]+)"', 1)) AS url FROM year_history WHERE text IS NOT NULL)""")
 def html_urls(spark, d):
     rows = table(spark, d, "year_history").where("text IS NOT NULL").select("page_id", "year", "text").distinct()
-    return rows.select("page_id", "year", F.explode(U.html_urls("text", F.lit("https://wiki.example/index.html"))).alias("url"))
+    return rows.select("page_id", "year", F.explode(U.html_urls("text", F.lit("https://wiki.example/index.html"))).alias("url")).distinct()
 
 
 @query()
