@@ -49,7 +49,11 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of a cluster, once for each application."""
+    """Make this package importable in the Python workers of a cluster, once for each application.
+
+    The archive lies with the driver alone, which serves it to every executor that starts, also to one that replaces
+    another; no executor needs the driver's folder.
+    """
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
