@@ -113,13 +113,15 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : end[i]]] for i in start if alive[i]]
 
 
-def _long_pieces(name: str, folder: str):
+def _long_pieces(spark: SparkSession, ranks: dict[bytes, int]):
+    """The heap's merges as a function of a column; the vocabulary, of a fixed size, is broadcast from the driver."""
+    shared = spark.sparkContext.broadcast(ranks)
+
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def ids(pieces: pd.Series) -> pd.Series:
         if pieces.isna().all():
             return pd.Series([None] * len(pieces), dtype=object)
-        ranks = read_ranks(name, folder)
-        return pieces.map(lambda p: None if p is None else merge_long(bytes(p), ranks))
+        return pieces.map(lambda p: None if p is None else merge_long(bytes(p), shared.value))
 
     return ids
 
@@ -146,14 +148,15 @@ def encoded_pieces(pieces: DataFrame, name: str, folder: str) -> DataFrame:
     column of a few rows; the number of chunks follows the number of shuffle partitions.
     """
     spark = pieces.sparkSession
+    vocabulary = read_ranks(name, folder)
     ranks = F.col("ranks")
     words = pieces.select("piece").distinct().select("piece", F.encode("piece", "UTF-8").alias("b"))
     long = F.length("b") > FOLD_BYTES
     chunks = (
-        words.withColumn("long_ids", _long_pieces(name, folder)(F.when(long, F.col("b"))))
+        words.withColumn("long_ids", _long_pieces(spark, vocabulary)(F.when(long, F.col("b"))))
         .groupBy(F.pmod(F.xxhash64("piece"), F.lit(max(256, 16 * shuffle_partitions(spark)))).alias("chunk"))
         .agg(F.collect_list(F.struct("piece", "b", "long_ids")).alias("words"))
-        .select("words", rank_map(spark, read_ranks(name, folder)).alias("ranks"))
+        .select("words", rank_map(spark, vocabulary).alias("ranks"))
     )
 
     def encode(w: Column) -> Column:
