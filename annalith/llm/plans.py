@@ -61,8 +61,12 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """All pairs of words in at least 3 articles and 4 in a thousand, with what chance gives and the false-discovery control."""
-    return together.discoveries(together.close_pairs(table(spark, folder, "year_history"), "page_id", "text")).drop("items")
+    """All pairs of words that stand close in any article, with what chance gives and the false-discovery control.
+
+    The scored pairs are written once, as their ranks are taken before they are marked.
+    """
+    pairs = together.close_pairs(table(spark, folder, "year_history"), "page_id", "text", min_count=1, min_share=None)
+    return together.discoveries(checkpointed(pairs)).drop("items")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
