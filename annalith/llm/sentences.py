@@ -19,13 +19,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalith.llm.sampling import smallest_hashes
+from annalith.session import checkpointed
 
-#: The classifier is fitted on at most this many texts of each script, those of smallest hash.
+#: The classifier's labelled rows come from at most this many texts of each script, those of smallest hash; the lexicon has all texts.
 SAMPLE_TEXTS = 6000
+#: Contexts a task gathers before it hands them on.
+HELD = 500_000
 WEIGHTS = 1 << 15
 #: Characters on either side that make a context; repeated contexts count once.
 CONTEXT = 14
@@ -236,7 +240,7 @@ def paragraphs(text: str) -> Iterator[tuple[int, int]]:
 
 @dataclass
 class Lexicon:
-    """What the sample tells of tokens, by language."""
+    """What texts tell of tokens, by language."""
 
     marked: Counter = field(default_factory=Counter)  # before a soft mark
     final: Counter = field(default_factory=Counter)  # before a soft mark at a paragraph's end
@@ -246,25 +250,31 @@ class Lexicon:
 
     def of_prev(self, language: str, token: str) -> str:
         key = (language, shape_or(token))
-        n, k = self.marked[key], self.final[key]
-        if not n:
-            return "new"
-        expected = n * max(self.base.get(language, 0.1), 0.02)
-        if k == 0:
-            return "never" if expected >= 2 else "rarely" if n >= 4 else "seldom"
-        return "often" if k >= expected / 4 else "now and then"
+        return prev_class(self.marked[key], self.final[key], self.base.get(language, 0.1))
 
     def always_marked(self, language: str, token: str) -> bool:
         key = (language, shape_or(token))
         return self.marked[key] >= 0.9 * self.seen[key]
 
     def of_next(self, language: str, token: str) -> str:
-        if not token:
-            return "none"
-        low, seen = self.seen[(language, token.lower())], self.seen[(language, token)]
-        if token != token.lower() and low:
-            return "starter" if self.initial[(language, token)] else "common"
-        return ("starts" if self.initial[(language, token)] else "named" if seen >= 4 else "scarce") if seen else "new"
+        return next_class(token, self.seen[(language, token.lower())], self.seen[(language, token)], self.initial[(language, token)])
+
+
+def prev_class(marked: int, final: int, base: float) -> str:
+    if not marked:
+        return "new"
+    expected = marked * max(base, 0.02)
+    if final == 0:
+        return "never" if expected >= 2 else "rarely" if marked >= 4 else "seldom"
+    return "often" if final >= expected / 4 else "now and then"
+
+
+def next_class(token: str, low: int, seen: int, initial: int) -> str:
+    if not token:
+        return "none"
+    if token != token.lower() and low:
+        return "starter" if initial else "common"
+    return ("starts" if initial else "named" if seen >= 4 else "scarce") if seen else "new"
 
 
 def shape_or(token: str) -> str:
@@ -279,11 +289,14 @@ def shape_or(token: str) -> str:
 
 def features(c: Candidate, language: str, lexicon: Lexicon) -> list[int]:
     """The classifier's features as places of the weight vector."""
-    prev, nxt = lexicon.of_prev(language, c.prev), lexicon.of_next(language, c.next)
+    return places(c, language, lexicon.of_prev(language, c.prev), lexicon.always_marked(language, c.prev), lexicon.of_next(language, c.next))
+
+
+def places(c: Candidate, language: str, prev: str, always: bool, nxt: str) -> list[int]:
     p = c.prev
     shape = "digits" if p.isdigit() else "single" if shape_or(p) == "^" or len(p) == 1 else "inner" if "." in p else "upper" if p[:1].isupper() else "lower"
     names = (
-        "bias", f"p {prev}", f"pl {prev} {language}", f"w {language} {shape_or(p)}", f"always {lexicon.always_marked(language, p)} {prev}",
+        "bias", f"p {prev}", f"pl {prev} {language}", f"w {language} {shape_or(p)}", f"always {always} {prev}",
         f"s {shape} {min(len(p), 6)}", f"sn {shape} {c.next_kind}", f"n {c.next_kind} {language}", f"x {nxt} {language}", f"pn {prev} {nxt}",
         f"v {language} {c.next}", f"wv {shape_or(p)} {c.next_kind}", f"b {c.before.isdigit() or c.before[:1].isdigit()} {prev}",
         f"m {c.mark[:2]} {language}", f"g {c.gap}", f"gn {c.mark[:2]} {c.next_kind}",
@@ -302,51 +315,93 @@ class Model:
         return float(self.weights[features(c, language, self.lexicon)].sum()) > 0
 
 
+def contexts(text: str, known: set | None = None) -> Iterator[tuple[int, str, str, str]]:
+    """(kind, language, token, context) of a text's tokens: 0 seen, 1 before a soft mark, 2 so at a paragraph's end, 3 first of a paragraph.
+
+    Paragraphs that are in ``known`` are passed over, others are added to it.
+    """
+    language = language_of(text, script_of(text))
+    for start, stop in paragraphs(text):
+        if known is not None:
+            key = (language, text[start : stop + CONTEXT], stop - start)
+            if key in known:
+                continue
+            known.add(key)
+        first = True
+        for m in WORD.finditer(text, start, stop):
+            w = m.group()
+            context = text[max(start, m.start() - CONTEXT) : m.end() + CONTEXT]
+            shape = shape_or(w)
+            yield 0, language, shape, context
+            if w != shape:
+                yield 0, language, w, context
+            if first:
+                yield 3, language, w, ""
+                first = False
+        for m in re.finditer(r"[.…]+(?=[^\w]|$)", text[start:stop]):
+            last = LAST_WORD.search(text, max(start, start + m.start() - 60), start + m.start())
+            if last:
+                yield 1 + (start + m.end() == stop), language, shape_or(last.group()), text[max(start, last.start() - CONTEXT) : start + m.end() + CONTEXT]
+
+
+def lexicon_of(rows: Iterable[tuple[str, str, int, int, int, int]], ends: dict[str, tuple[int, int]]) -> Lexicon:
+    """From (language, token, seen, marked, final, initial), and each language's (final, marked) over all tokens."""
+    lexicon = Lexicon(base={k: final / marked for k, (final, marked) in ends.items() if marked})
+    for language, token, *counts in rows:
+        for counter, n in zip((lexicon.seen, lexicon.marked, lexicon.final, lexicon.initial), counts):
+            if n:
+                counter[(language, token)] = n
+    return lexicon
+
+
 def read_lexicon(texts: list[str]) -> Lexicon:
     """Counts over distinct contexts, since revisions of a page repeat their sentences."""
-    lexicon = Lexicon()
-    marks: Counter = Counter()
-    ends: Counter = Counter()
-    known: set[str] = set()
-    for text in texts:
-        script = script_of(text)
-        language = language_of(text, script)
-        for start, stop in paragraphs(text):
-            words = WORD.findall(text, start, stop)
-            for m in WORD.finditer(text, start, stop):
-                w = m.group()
-                context = "=" + text[max(start, m.start() - CONTEXT) : m.end() + CONTEXT]
-                if context in known:
-                    continue
-                known.add(context)
-                lexicon.seen[(language, shape_or(w))] += 1
-                if w != shape_or(w):
-                    lexicon.seen[(language, w)] += 1
-            if words:
-                lexicon.initial[(language, words[0])] += 1
-            for m in re.finditer(r"[.…]+(?=[^\w]|$)", text[start:stop]):
-                last = LAST_WORD.search(text, max(start, start + m.start() - 60), start + m.start())
-                if not last:
-                    continue
-                context = text[max(start, last.start() - CONTEXT) : start + m.end() + CONTEXT]
-                if context in known:
-                    continue
-                known.add(context)
-                key = (language, shape_or(last.group()))
-                lexicon.marked[key] += 1
-                marks[language] += 1
-                if start + m.end() == stop:
-                    lexicon.final[key] += 1
-                    ends[language] += 1
-    lexicon.base = {k: ends[k] / n for k, n in marks.items()}
-    return lexicon
+    counts: dict[tuple[str, str], list[int]] = {}
+    ends: dict[str, list[int]] = {}
+    known: set = set()
+    for kind, language, token, _ in {x for t in texts for x in contexts(t, known)}:
+        n = counts.setdefault((language, token), [0, 0, 0, 0])
+        n[(0, 1, 2, 3)[kind]] += 1
+        if kind == 2:
+            n[1] += 1
+        if kind in (1, 2):
+            e = ends.setdefault(language, [0, 0])
+            e[0] += kind == 2
+            e[1] += 1
+    return lexicon_of(((*k, *n) for k, n in counts.items()), ends)
+
+
+def count_lexicon(df: DataFrame, text: str) -> DataFrame:
+    """language, token, seen, marked, final, initial over all texts of ``df``, as ``read_lexicon`` counts them.
+
+    A task hands on each context once; contexts of a token are told apart by 64 bits.
+    """
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set = set()
+        found: set = set()
 
-def train(texts: list[str], rounds: int = 150, decay: float = 1e-4) -> Model:
-    """Fit on reliable boundaries: logistic regression, full-batch, with adaptive steps and a quadratic penalty."""
-    lexicon = read_lexicon(texts)
-    rows: list[list[int]] = []
-    labels: list[int] = []
+        def handed_on() -> pa.RecordBatch:
+            columns = zip(*found) if found else ((), (), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.string(), pa.string()))], ["kind", "language", "token", "context"])
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                found.update(contexts(t, known))
+                if len(found) > HELD:
+                    yield handed_on()
+                    found.clear()
+                    known.clear()
+        yield handed_on()
+
+    rows = df.where(F.col(text).isNotNull()).select(text).mapInArrow(read, "kind int, language string, token string, context string")
+    each = rows.select("kind", "language", "token", F.xxhash64("context").alias("context")).distinct()
+    n = lambda condition, name: F.count_if(F.expr(condition)).alias(name)
+    return each.groupBy("language", "token").agg(n("kind = 0", "seen"), n("kind IN (1, 2)", "marked"), n("kind = 2", "final"), n("kind = 3", "initial"))
+
+
+def training_contexts(texts: list[str]) -> Iterator[tuple[Candidate, str, bool]]:
+    """(candidate, language, is it a paragraph's end) of distinct contexts that may be labelled."""
     known: set[str] = set()
     for text in texts:
         script = script_of(text)
@@ -358,24 +413,8 @@ def train(texts: list[str], rounds: int = 150, decay: float = 1e-4) -> Model:
                 if c.end == stop or c.mark == "" or context in known:
                     continue
                 known.add(context)
-                if c.sure is False and c.next_kind == "lower" and c.gap != "none":
-                    c.next, c.next_kind = "", "hidden"
-                    label = 0
-                elif c.sure is None and not lexicon.base.get(language, 1):
-                    label = 0  # other marks end sentences there
-                elif (
-                    c.sure is None
-                    and lexicon.of_prev(language, c.prev) in ("never", "rarely")
-                    and lexicon.always_marked(language, c.prev)
-                    and lexicon.of_next(language, c.next) in ("named", "scarce", "new")
-                ):
-                    label = 0
-                elif c.sure is None and lexicon.of_next(language, c.next) == "starter":
-                    label = 1
-                else:
-                    continue
-                rows.append(features(c, language, lexicon))
-                labels.append(label)
+                if c.sure is None or c.sure is False and c.next_kind == "lower" and c.gap != "none":
+                    yield c, language, False
             tail = re.search(r"([.…]+)[" + re.escape(TAIL) + r"]*$", text[start:stop])
             context = text[max(start, stop - CONTEXT) : spans[k + 1][0] + CONTEXT] if k + 1 < len(spans) else ""
             if tail and context and context not in known and script != "thai":
@@ -385,8 +424,38 @@ def train(texts: list[str], rounds: int = 150, decay: float = 1e-4) -> Model:
                 prev = last.group() if last else ""
                 before = LAST_WORD.search(head[: last.start()].rstrip().rstrip(".")) if last else None
                 _, what, word = _next(text, spans[k + 1][0], spans[k + 1][1])
-                rows.append(features(Candidate(stop, None, prev, before.group() if before else "", word, what, tail.group(1), "space"), language, lexicon))
-                labels.append(1)
+                yield Candidate(stop, None, prev, before.group() if before else "", word, what, tail.group(1), "space"), language, True
+
+
+def train(texts: list[str], rounds: int = 150, decay: float = 1e-4) -> Model:
+    """Fit on reliable boundaries of ``texts``, with the lexicon of the same texts."""
+    return fit_weights(list(training_contexts(texts)), read_lexicon(texts), rounds, decay)
+
+
+def fit_weights(found: list[tuple[Candidate, str, bool]], lexicon: Lexicon, rounds: int = 150, decay: float = 1e-4) -> Model:
+    """Logistic regression, full-batch, with adaptive steps and a quadratic penalty. The lexicon says which contexts are reliable."""
+    rows: list[list[int]] = []
+    labels: list[int] = []
+    for c, language, is_end in found:
+        if is_end:
+            label = 1
+        elif c.sure is False:
+            c.next, c.next_kind = "", "hidden"
+            label = 0
+        elif not lexicon.base.get(language, 1):
+            label = 0  # other marks end sentences there
+        elif (
+            lexicon.of_prev(language, c.prev) in ("never", "rarely")
+            and lexicon.always_marked(language, c.prev)
+            and lexicon.of_next(language, c.next) in ("named", "scarce", "new")
+        ):
+            label = 0
+        elif lexicon.of_next(language, c.next) == "starter":
+            label = 1
+        else:
+            continue
+        rows.append(features(c, language, lexicon))
+        labels.append(label)
     weights = np.zeros(WEIGHTS)
     if rows:
         x, y = np.array(rows), np.array(labels, float)
@@ -416,24 +485,34 @@ def sentence_ends(text: str, model: Model) -> list[int]:
     return ends
 
 
-def fit_model(df: DataFrame, text: str, sample: int = SAMPLE_TEXTS) -> Model:
-    """A model from at most ``sample`` texts of each script, those of smallest hash, so it doesn't depend on row order."""
+def fit_model(df: DataFrame, text: str, counted: DataFrame, sample: int = SAMPLE_TEXTS) -> Model:
+    """A model with labelled rows from at most ``sample`` texts of each script, those of smallest hash, so it doesn't depend on row order.
+
+    Of the lexicon ``counted`` it has the tokens of these rows only, and the base rates of all.
+    """
     script = F.lit("none")
     for name, chars in reversed(SCRIPTS):
         script = F.when(F.col(text).rlike(f"[{chars}]"), name).otherwise(script)
-    return train(smallest_hashes(df, text, sample, script))
+    found = list(training_contexts(smallest_hashes(df, text, sample, script)))
+    ends = {r["language"]: (r["f"], r["m"]) for r in counted.groupBy("language").agg(F.sum("final").alias("f"), F.sum("marked").alias("m")).collect()}
+    asked = sorted({(language, t) for c, language, _ in found for t in (shape_or(c.prev), c.next, c.next.lower())})
+    tokens = df.sparkSession.createDataFrame(pd.DataFrame(asked, columns=["language", "token"], dtype=object), "language string, token string")
+    rows = counted.join(F.broadcast(tokens), ["language", "token"], "left_semi").select("language", "token", "seen", "marked", "final", "initial").collect()
+    return fit_weights(found, lexicon_of(rows, ends))
 
 
 def split_sentences(df: DataFrame, ident: str, text: str, model: Model | None = None) -> DataFrame:
     """``ident``, end_pos: one row for each sentence, with the number of characters up to and with its last one.
 
     Null and blank texts have no sentence. Repeated rows count once; if an identifier has several texts, its rows are those
-    of all of them; a null identifier is one like others. Extra columns are ignored. Without ``model`` one is fitted on a bounded sample of ``df``.
+    of all of them; a null identifier is one like others. Extra columns are ignored. Without ``model`` one is fitted:
+    its lexicon on all texts, its weights on a bounded sample.
     """
     rows = df.where(F.col(text).isNotNull()).select(F.col(ident).cast("string").alias("id"), F.col(text).alias("text"))
-    model = model or fit_model(df, text)
-    shared = df.sparkSession.sparkContext.broadcast(model)
     kind_of = df.schema[ident].dataType.simpleString()
+    if model is None:
+        return _split_with_own_lexicon(rows).distinct().select(F.col("id").cast(kind_of).alias(ident), "end_pos")
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -446,3 +525,60 @@ def split_sentences(df: DataFrame, ident: str, text: str, model: Model | None =
             yield pd.DataFrame({"id": pd.Series(ids, dtype=object), "end_pos": pd.Series(ends, dtype="int32")})
 
     return rows.mapInPandas(split, "id string, end_pos int").distinct().select(F.col("id").cast(kind_of).alias(ident), "end_pos")
+
+
+_OPEN = ["language", "prev", "before", "next", "next_kind", "mark", "gap"]
+
+
+def _split_with_own_lexicon(rows: DataFrame) -> DataFrame:
+    """id, end_pos. Undecided candidates are joined with the lexicon of all texts; only the weights are broadcast.
+
+    A later candidate of a text always ends later, so each is decided by itself.
+    """
+    counted = checkpointed(count_lexicon(rows, "text"))
+    model = fit_model(rows, "text", counted)
+    shared = rows.sparkSession.sparkContext.broadcast((model.weights, model.lexicon.base))
+    names = ["id", "end_pos", *_OPEN, "token", "low"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if not text or text.isspace():
+                    continue
+                script = script_of(text)
+                language = language_of(text, script)
+                for start, stop in paragraphs(text):
+                    for c in candidates(text, start, stop, script):
+                        if c.end <= start or c.sure is False:
+                            continue
+                        if c.sure:
+                            out.append((i, c.end, *[None] * (len(names) - 2)))
+                        else:
+                            before = "1" if c.before[:1].isdigit() else "A" if c.before[:1].isupper() else ""
+                            out.append((i, c.end, language, c.prev, before, c.next, c.next_kind, c.mark[:2], c.gap, shape_or(c.prev), c.next.lower()))
+            columns = zip(*out) if out else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int32() if k == 1 else pa.string()) for k, c in enumerate(columns)], names)
+
+    ends = checkpointed(rows.select("id", "text").mapInArrow(read, ", ".join(f"{x} {'int' if x == 'end_pos' else 'string'}" for x in names)))
+    undecided = ends.where("language IS NOT NULL")
+    of = lambda key, **columns: counted.select("language", F.col("token").alias(key), *(F.col(c).alias(n) for n, c in columns.items()))
+    for part in (of("token", n_marked="marked", n_final="final", n_seen="seen"), of("next", n_next="seen", n_initial="initial"), of("low", n_low="seen")):
+        undecided = undecided.join(part, ["language", part.columns[1]], "left")
+    counts = ["n_marked", "n_final", "n_seen", "n_next", "n_initial", "n_low"]
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, base = shared.value
+        for b in batches:
+            keep = []
+            known: dict[tuple, bool] = {}
+            for key in zip(*(b.column(k).to_pylist() for k in range(2, b.num_columns))):
+                if key not in known:
+                    language, prev, before, nxt, what, mark, gap, marked, final, seen, n, initial, low = key
+                    at = places(Candidate(0, None, prev, before, nxt, what, mark, gap), language, prev_class(marked, final, base.get(language, 0.1)), marked >= 0.9 * seen, next_class(nxt, low, n, initial))
+                    known[key] = float(weights[at].sum()) > 0
+                keep.append(known[key])
+            yield b.filter(pa.array(keep, pa.bool_())).select(["id", "end_pos"])
+
+    decided = undecided.select("id", "end_pos", *_OPEN, *(F.coalesce(c, F.lit(0)).alias(c) for c in counts)).mapInArrow(decide, "id string, end_pos int")
+    return ends.where("language IS NULL").select("id", "end_pos").unionByName(decided)

@@ -84,3 +84,21 @@ def test_split(spark, model):
     assert out == sorted((i, e) for i, t in rows if t for e in sentences.sentence_ends(t, model))
     assert sentences.split_sentences(df, "rev_id", "content").count() > 5000
     assert sentences.split_sentences(df.limit(0), "rev_id", "content").collect() == []
+
+
+def test_lexicon_has_all_texts(spark, model, monkeypatch):
+    r = random.Random(15)
+    texts = [make(r, 8)[0] for _ in range(120)]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts + texts[:9])], "rev_id string, content string")
+    monkeypatch.setattr(sentences, "HELD", 300)
+    counted = sentences.count_lexicon(df, "content").collect()
+    whole = sentences.read_lexicon(texts)
+    assert {(x.language, x.token): (x.seen, x.marked, x.final, x.initial) for x in counted} == {
+        k: (whole.seen[k], whole.marked[k], whole.final[k], whole.initial[k]) for k in {*whole.seen, *whole.marked, *whole.initial}
+    }
+    few = sentences.fit_model(df, "content", spark.createDataFrame(counted), 10)
+    assert few.lexicon.base == whole.base and all(few.lexicon.seen[k] == whole.seen[k] for k in few.lexicon.seen) and few.lexicon.seen
+    monkeypatch.setattr(sentences.fit_model, "__defaults__", (10,))
+    joined = sentences.Model(whole, few.weights)
+    found = sorted(tuple(x) for x in sentences.split_sentences(df, "rev_id", "content").collect())
+    assert found == sorted((str(i), e) for i, t in enumerate(texts + texts[:9]) for e in sentences.sentence_ends(t, joined))
