@@ -149,6 +149,7 @@ def candidates(text: str, start: int, stop: int, script: str) -> Iterator[Candid
     stack: list[tuple[str, int, bool]] = []  # closing mark, where it opened, whether a quotation
     begun = start  # where the sentence in hand began, as far as settled candidates tell
     skip = start
+    plain = unclosed(text, start, stop)
     for m in EVENT.finditer(text, start, stop):
         i, ch = m.start(), m.group()
         if i < skip:
@@ -180,7 +181,7 @@ def candidates(text: str, start: int, stop: int, script: str) -> Iterator[Candid
                     begun = end
                 yield Candidate(end, sure)
             continue
-        if ch in CLOSE_OF and _opens(text, i, ch):
+        if ch in CLOSE_OF and i not in plain and _opens(text, i, ch):
             stack.append((CLOSE_OF[ch], i, ch in QUOTES))
             continue
         if stack or not (ch in HARD or ch in SOFT or ch == ";" and script == "greek"):
@@ -189,7 +190,7 @@ def candidates(text: str, start: int, stop: int, script: str) -> Iterator[Candid
         while end < stop and text[end] in HARD + SOFT:
             end += 1
         mark = text[i:end]
-        while end < stop and text[end] in TAIL and not (text[end] in CLOSE_OF and _opens(text, end, text[end])):
+        while end < stop and text[end] in TAIL and not (text[end] in CLOSE_OF and end not in plain and _opens(text, end, text[end])):
             end += 1
         skip = end
         gap, what, word = _next(text, end, stop)
@@ -216,6 +217,27 @@ def candidates(text: str, start: int, stop: int, script: str) -> Iterator[Candid
     yield Candidate(stop, True)
 
 
+def unclosed(text: str, start: int, stop: int) -> set[int]:
+    """Where the paragraph has opening marks that nothing closes; they are text like other signs. Innermost ones are found first."""
+    events = [(m.start(), m.group()) for m in EVENT.finditer(text, start, stop)]
+    last = {ch: i for i, ch in events}
+    plain = {i for i, ch in events if ch in CLOSE_OF and last.get(CLOSE_OF[ch], -1) <= i}
+    at, stack = 0, []  # places in events
+    while True:
+        for k in range(at, len(events)):
+            i, ch = events[k]
+            if stack and ch == CLOSE_OF[events[stack[-1]][1]]:
+                stack.pop()
+            elif ch in CLOSE_OF and i not in plain and _opens(text, i, ch):
+                stack.append(k)
+        if not stack:
+            return {i for i in plain if _opens(text, i, text[i])}
+        kind = events[stack[-1]][1]
+        while stack and events[stack[-1]][1] == kind:  # none of them is closed without the others either
+            at = stack.pop()
+            plain.add(events[at][0])
+
+
 def _opens(text: str, i: int, ch: str) -> bool:
     """Whether a mark that can open a passage does so here."""
     if ch in "‘»":  # also an apostrophe, and a closing mark

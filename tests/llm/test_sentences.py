@@ -102,3 +102,14 @@ def test_lexicon_has_all_texts(spark, model, monkeypatch):
     joined = sentences.Model(whole, few.weights)
     found = sorted(tuple(x) for x in sentences.split_sentences(df, "rev_id", "content").collect())
     assert found == sorted((str(i), e) for i, t in enumerate(texts + texts[:9]) for e in sentences.sentence_ends(t, joined))
+
+
+def test_openers_without_closers(model):
+    for opener in ('It has a 5" pipe', "It is a (draft", "It was in the ‘90s", "He said „yes", "See [(a) and (b"):
+        text = opener + " there. The mill is old! It has a river (see No. 5). Who built the bridge?"
+        ends = [i + 1 for i in range(len(text)) if text[i] in "!?" or text.startswith((". The", ". Who"), i)]
+        assert sentences.sentence_ends(text, model) == ends, opener
+    text = 'The mill is old." The road is long! It has a river.'
+    assert sentences.sentence_ends(text, model) == [17, 35, len(text)]
+    assert sentences.unclosed("(" * 20000 + ")", 0, 20001) == set(range(19999))
+    assert sentences.unclosed('a ("b" [c]) "d', 0, 14) == {12}
