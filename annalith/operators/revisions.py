@@ -103,12 +103,15 @@ def year_ends(revisions: DataFrame, first: int, last: int) -> DataFrame:
 def at_revision(revisions: DataFrame, wanted: DataFrame) -> DataFrame:
     """page_id, wanted, rev_id, content: the revision asked for, or the page's latest if it isn't there.
 
-    ``wanted`` has page_id and rev_id, one row for each page; pages without a revision are left out.
+    ``wanted`` has page_id and rev_id, any number of them for each page; pages without a revision are left out. Hits are joined
+    by page and revision, and every page has one latest row, so no page's revisions are multiplied by its requests.
     """
-    asked = wanted.select("page_id", F.col("rev_id").alias("wanted"))
-    hit = F.col("rev_id") == F.col("wanted")
-    best = F.max_by(F.struct("rev_id", "content"), F.struct(F.coalesce(hit, F.lit(False)), "ts", *ORDER))
-    return revisions.join(asked, "page_id").groupBy("page_id", "wanted").agg(best.alias("x")).select("page_id", "wanted", "x.rev_id", "x.content")
+    asked = wanted.where("page_id IS NOT NULL").select("page_id", F.col("rev_id").alias("wanted")).distinct()
+    found = F.struct("rev_id", "content")
+    hits = revisions.select("page_id", F.col("rev_id").alias("wanted"), found.alias("hit"))
+    latest = revisions.groupBy("page_id").agg(F.max_by(found, F.struct("ts", *ORDER)).alias("latest"))
+    rows = asked.join(hits, ["page_id", "wanted"], "left").join(latest, "page_id")
+    return rows.withColumn("x", F.coalesce("hit", "latest")).select("page_id", "wanted", "x.rev_id", "x.content")
 
 
 def revision_deltas(revisions: DataFrame) -> DataFrame:

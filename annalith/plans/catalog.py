@@ -384,6 +384,14 @@ def reconstruct_revision(spark, d):
     return R.at_revision(history(spark, d, "content"), wanted).select("page_id", "wanted", "rev_id")
 
 
+@query(f"""WITH {R_}, w AS (SELECT DISTINCT page_id, rev_id AS wanted FROM split_requests WHERE page_id IS NOT NULL),
+l AS (SELECT page_id, arg_max(rev_id, (ts, pos, rev_id)) AS latest FROM v GROUP BY page_id)
+SELECT w.page_id, w.wanted, coalesce(v.rev_id, l.latest) AS rev_id FROM w JOIN l USING (page_id) LEFT JOIN v ON v.page_id = w.page_id AND v.rev_id = w.wanted""")
+def reconstruct_requests(spark, d):
+    wanted = table(spark, d, "split_requests").select("page_id", "rev_id")
+    return R.at_revision(history(spark, d, "content"), wanted).select("page_id", "wanted", "rev_id")
+
+
 @query(f"""WITH {R_}, l AS (SELECT page_id, rev_id, coalesce(content, '') AS c, coalesce(lag(coalesce(content, '')) OVER (PARTITION BY page_id ORDER BY ts, pos, rev_id), '') AS p FROM v)
 SELECT page_id, rev_id, cast(length(c) - length(p) AS INT) AS length_change, c <> p AS changed FROM l""")
 def revision_deltas(spark, d):

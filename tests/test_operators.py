@@ -112,6 +112,8 @@ def test_state_at_a_time(spark):
     assert rows(revisions.at_revision(h, wanted), "wanted", "rev_id") == [("b", "b")]
     missing = spark.createDataFrame([("1", "zz")], "page_id string, rev_id string")
     assert rows(revisions.at_revision(h, missing), "wanted", "rev_id") == [("zz", "c")]
+    several = spark.createDataFrame([("1", "a"), ("1", "b"), ("1", "zz"), ("1", "b"), ("1", None), ("9", "z"), (None, "a")], "page_id string, rev_id string")
+    assert sorted(map(tuple, revisions.at_revision(h, several).collect()), key=str) == [("1", "a", "a", "one"), ("1", "b", "b", "two"), ("1", "zz", "c", None), ("1", None, "c", None)]
     assert rows(revisions.year_ends(h, 2004, 2007), "year", "rev_id") == [(2005, "a"), (2006, "c"), (2007, "c")]
 
 
@@ -255,3 +257,13 @@ def test_empty_tables(spark):
     h = revisions.distinct_revisions(spark.createDataFrame([], "page_id string, rev_id string, ts timestamp, content string, pos int"), "content")
     for df in (temporal.diff_index(temporal.temporal_diff(t)), search.tfidf(t), e, definitions.definitions(t), revisions.segments(h), revisions.revision_deltas(h), revisions.equilibrium(revisions.edits(h)), revisions.as_of(h, ["2001-01-01 00:00:00"])):
         assert df.collect() == []
+
+
+def test_every_request_is_reconstructed(spark):
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.01"
+    asked = spark.read.parquet(f"{folder}/split_requests.parquet").where("page_id IS NOT NULL").select("page_id", "rev_id").distinct()
+    pages = spark.read.parquet(f"{folder}/revisions.parquet").where("rev_id IS NOT NULL AND ts IS NOT NULL").select("page_id").distinct()
+    found = entry.queries()["reconstruct_requests"](spark, folder).selectExpr("page_id", "wanted AS rev_id")
+    assert found.count() == asked.join(pages, "page_id").count() > asked.select("page_id").distinct().count()
