@@ -3,7 +3,7 @@
 A document is cut into blocks; the blocks' signs are lexed into markup tokens and text. Signs count as markup only in a
 form in which they are rendered: a price, a comparison, a set or a file name is text. Blocks that are records of their kind
 (templates, tables, lists, environments) form the token streams of a host, which is the language with the opening token;
-from a bounded sample of them a wrapper is inferred for each host (see ``wrappers``), and a block that its host's wrapper
+from all of them a wrapper is inferred for each host (see ``wrappers``), and a block that its host's wrapper
 matches gives its text slots, one line for each repetition. Other blocks are rendered token by token. A document in which
 no token is markup stays as it is.
 """
@@ -11,8 +11,9 @@ no token is markup stays as it is.
 from __future__ import annotations
 
 import html
+import json
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,10 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalith.llm import wrappers
-from annalith.llm.sampling import smallest_hashes
 
-#: Wrappers are inferred from at most this many marked texts, those of smallest hash, and so many blocks of a host.
-SAMPLE_TEXTS, SAMPLE_BLOCKS = 2000, 200
+#: Shapes of records a task gathers before it hands them on.
+HELD = 50_000
 
 # Element names of HTML and of the wiki extensions, behaviour switches, and commands without an argument.
 ELEMENTS = set(
@@ -402,15 +402,44 @@ def suspect(text: Column) -> Column:
 
 
 def infer_wrappers(df: DataFrame, text: str) -> dict[str, tuple]:
-    """The wrapper of each host, from a bounded sample of suspect texts."""
-    streams: dict[str, list] = defaultdict(list)
-    reader = Cleaner()
-    for text_ in smallest_hashes(df.where(suspect(F.col(text))), text, SAMPLE_TEXTS):
-        reader.blocks(text_)
-        for host, stream in reader.records:
-            if len(streams[host]) < SAMPLE_BLOCKS:
-                streams[host].append(stream)
-    return {host: w for host, s in sorted(streams.items()) if (w := wrappers.infer(s)) is not None}
+    """The wrapper of each host, from the blocks of all suspect texts.
+
+    A task hands on each collapsed shape of a host (texts as slots) with its count; the distinct shapes of a host are aligned
+    in one place, the most frequent first. One wrapper for each host reaches the driver.
+    """
+
+    def shapes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = Cleaner()
+        known: dict[tuple, str] = {}
+        counts: Counter = Counter()
+
+        def handed_on() -> pd.DataFrame:
+            return pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["host", "shape", "n"])
+
+        for frame in frames:
+            for t in frame["text"]:
+                reader.blocks(t)
+                for host, stream in reader.records:
+                    slotted = tuple(x if x[0] else wrappers.SLOT for x in stream)
+                    if slotted not in known:
+                        known[slotted] = json.dumps(wrappers.written(wrappers.collapse(slotted)))
+                    counts[(host, known[slotted])] += 1
+            if len(known) > HELD:
+                yield handed_on()
+                counts.clear()
+                known.clear()
+        if counts:
+            yield handed_on()
+
+    def aligned(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["n", "shape"], ascending=[False, True])
+        wrapper = wrappers.merge([wrappers.read(json.loads(x)) for x in frame["shape"]])
+        return pd.DataFrame({"host": frame["host"].iloc[:1], "wrapper": [json.dumps(wrappers.written(wrapper))]})
+
+    rows = df.where(suspect(F.col(text))).select(F.col(text).alias("text")).mapInPandas(shapes, "host string, shape string, n long")
+    each = rows.groupBy("host", "shape").agg(F.sum("n").alias("n"))
+    found = each.groupBy("host").applyInPandas(aligned, "host string, wrapper string").collect()
+    return {r["host"]: wrappers.read(json.loads(r["wrapper"])) for r in sorted(found)}
 
 
 def clean_texts(df: DataFrame, text: str, known: dict[str, tuple] | None = None) -> DataFrame:
@@ -418,7 +447,7 @@ def clean_texts(df: DataFrame, text: str, known: dict[str, tuple] | None = None)
 
     Null texts have null clean_text and no markup; empty texts and prose without markup stay as they are, with one block of
     kind text. Columns of ``df`` named like the new ones are replaced; repeated rows stay. Without ``known`` the wrappers
-    are inferred from a bounded sample of ``df``; they are bounded too, and broadcast.
+    are inferred from all rows of ``df`` and broadcast, one for each host.
     """
     new = ("clean_text", "markup", "blocks")
     kept = df.drop(*new)

@@ -53,6 +53,15 @@ def collapse(items: tuple) -> tuple:
     return tuple(out)
 
 
+def written(items: tuple) -> list:
+    """A wrapper as JSON values: markup as a string, texts and slots as 0, a group as [least, many, items]."""
+    return [[x.least, x.many, written(x.items)] if isinstance(x, Group) else x[1] if is_markup(x) else 0 for x in items]
+
+
+def read(values: list) -> tuple:
+    return tuple(SLOT if x == 0 else (True, x) if isinstance(x, str) else Group(read(x[2]), x[0], x[1]) for x in values)
+
+
 def is_markup(x) -> bool:
     return isinstance(x, tuple) and x[0]
 
@@ -123,12 +132,14 @@ def matches(a, b) -> bool:
 
 def infer(streams: list[list[Token]]) -> tuple | None:
     """The wrapper of all streams that fit together, the first one being kept; None without streams."""
+    return merge([start(s) for s in streams])
+
+
+def merge(shapes: list[tuple]) -> tuple | None:
+    """The wrapper of all collapsed streams, or wrappers, that fit together, the first one being kept."""
     wrapper = None
-    for stream in streams:
-        if wrapper is None:
-            wrapper = start(stream)
-        else:
-            wrapper = align(wrapper, start(stream)) or wrapper
+    for shape in shapes:
+        wrapper = shape if wrapper is None else align(wrapper, shape) or wrapper
     return wrapper
 
 

@@ -80,3 +80,17 @@ def test_table_of_texts(spark):
     kinds = {b.kind for r in out for b in r.blocks}
     assert {"heading", "item", "code", "formula", "table", "text"} <= kinds
     assert markup.clean_texts(df.limit(0), "text").collect() == []
+
+
+def test_wrappers_come_from_all_blocks(spark, monkeypatch):
+    monkeypatch.setattr(markup, "HELD", 1)
+    box = lambda i, more="": f"{{{{Infobox\n| name = town {i}\n{more}| area = {i} km\n}}}}"
+    rows = [(f"a{i}", f"a {i:04d}\n{box(i)}") for i in range(400)] + [(f"z{i}", f"z {i:04d}\n{box(i, f'| mayor = Olson {i}{chr(10)}')}") for i in range(3)]
+    df = spark.createDataFrame(rows, "id string, text string")
+    known = markup.infer_wrappers(df, "text")
+    reader = markup.Cleaner()
+    for _, text in rows:
+        reader.blocks(text)
+        assert all(wrappers.extract(known[host], stream) for host, stream in reader.records) and reader.records
+    found = {r["id"]: r["clean_text"] for r in markup.clean_texts(df, "text").collect()}
+    assert "mayor: Olson 2" in found["z2"] and "name: town 7" in found["a7"]
