@@ -13,13 +13,9 @@ from annalith.sources.tables import distinct_year_texts, table
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Words of an article's year that are characteristic of it; scored by z, then held to the exact definition.
-
-    A case repeats a word, 12 times at least, that few other texts have; such a word has higher odds in its text than in
-    the rest, so only words with z above 0 are held to it.
-    """
+    """Words of an article's year that are characteristic of it: all scored words of 12 occurrences or more, held to the exact definition."""
     scores = distinctive.term_scores(distinct_year_texts(table(spark, folder, "year_history")), "year", "page_id", "text", min_count=12)
-    return scores.where("z > 0 AND k >= 2 AND f / d * ln(total / k) >= 0.5").select("page_id", "year", F.col("term").alias("word"))
+    return scores.where("k >= 2 AND f / d * ln(total / k) >= 0.5").select("page_id", "year", F.col("term").alias("word"))
 
 
 def p2_terms(spark: SparkSession, folder: str) -> DataFrame:

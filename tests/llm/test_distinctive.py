@@ -55,3 +55,12 @@ def test_own_words_come_first(spark):
 
 def test_empty(spark):
     assert distinctive.term_scores(spark.createDataFrame([], "year int, page_id string, text string"), "year", "page_id", "text").collect() == []
+
+
+def test_case_that_another_text_outweighs(spark, tmp_path):
+    from annalith.llm import plans
+
+    rows = [(f"p{i}", 2012, "filler " * 250) for i in range(1700)]
+    rows += [("a", 2012, "rareword " * 12 + " ".join(f"w{i:03d} " * 20 for i in range(149))), ("b", 2012, "rareword " * 3000)]
+    spark.createDataFrame(rows, "page_id string, year int, text string").write.parquet(f"{tmp_path}/year_history.parquet")
+    assert ("a", 2012, "rareword") in {tuple(x) for x in plans.p2_found(spark, str(tmp_path)).collect()}
