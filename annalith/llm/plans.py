@@ -18,6 +18,12 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return scores.where("k >= 2 AND f / d * ln(total / k) >= 0.5").select("page_id", "year", F.col("term").alias("word"))
 
 
+def p2_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every word of every article and year with its score."""
+    scores = distinctive.term_scores(distinct_year_texts(table(spark, folder, "year_history")), "year", "page_id", "text")
+    return scores.select("page_id", "year", F.col("term").alias("word"), F.round("z", 4).alias("z"))
+
+
 def p2_terms(spark: SparkSession, folder: str) -> DataFrame:
     """The ten most characteristic words of every article and year, best first."""
     scores = distinctive.term_scores(distinct_year_texts(table(spark, folder, "year_history")), "year", "page_id", "text")
@@ -112,7 +118,7 @@ def p10_forms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (p2_found, p2_terms, p3_found, p3_clean, p4_found, p4_pairs, p5_found, p6_found, p8_ids, p9_packs, p10_found, p10_forms)
+    f.__name__: f for f in (p2_found, p2_scores, p2_terms, p3_found, p3_clean, p4_found, p4_pairs, p5_found, p6_found, p8_ids, p9_packs, p10_found, p10_forms)
 }
 
 _TERMS = """
@@ -154,3 +160,6 @@ s AS (SELECT year, word, article, n, 'added' AS side, added AS score FROM r UNIO
 SELECT year, word, side, cast(row_number() OVER (PARTITION BY year, word, side ORDER BY score DESC, article) AS INT) AS place_no, article
 FROM s WHERE n >= 5 AND score > 0 QUALIFY place_no <= 3""",
 }
+
+#: All scores: the twin of the top ten without its places.
+SQL["p2_scores"] = SQL["p2_terms"][: SQL["p2_terms"].rindex("SELECT page_id, year, cast(row_number()")] + "SELECT page_id, year, word, CASE WHEN z = 0 THEN 0.0::DOUBLE ELSE z END AS z FROM z"

@@ -64,3 +64,12 @@ def test_case_that_another_text_outweighs(spark, tmp_path):
     rows += [("a", 2012, "rareword " * 12 + " ".join(f"w{i:03d} " * 20 for i in range(149))), ("b", 2012, "rareword " * 3000)]
     spark.createDataFrame(rows, "page_id string, year int, text string").write.parquet(f"{tmp_path}/year_history.parquet")
     assert ("a", 2012, "rareword") in {tuple(x) for x in plans.p2_found(spark, str(tmp_path)).collect()}
+
+
+def test_every_word_has_a_score(spark, tmp_path):
+    from annalith.llm import plans
+
+    rows = [(f"p{i}", 2012, " ".join(f"word{j}" for j in range(i, i + 30))) for i in range(4)]
+    spark.createDataFrame(rows, "page_id string, year int, text string").write.parquet(f"{tmp_path}/year_history.parquet")
+    found = plans.QUERIES["p2_scores"](spark, str(tmp_path)).collect()
+    assert {(r.page_id, r.word) for r in found} == {(p, w) for p, _, t in rows for w in t.split()} and all(r.z is not None for r in found)
