@@ -1,31 +1,33 @@
 """Encoding of texts with the public byte-level BPE vocabularies, by Spark's own array functions.
 
-A text is cut into pieces by the vocabulary's pattern. Distinct pieces are encoded once: a fold over the bytes of a piece
-merges, again and again, the adjacent pair of lowest rank, looking ranks up in a constant map; what a piece gives is joined
-back to where it stands. The map is one constant, a bucketed array of small maps, because a lookup in one large map value
-scans it from the start.
+A text is cut into pieces by the vocabulary's pattern. A piece that is a token is looked up; every other distinct piece is
+encoded once: a fold over the bytes of the piece merges, again and again, the adjacent pair of lowest rank, looking ranks up
+in a constant map. The most frequent encoded pieces, of a fixed number, become a second constant map, so that only rare
+pieces are joined back to where they stand. A map is an array of small maps by hash, because a lookup in one large map value
+scans it from the start; it is bound once for each row, outside the lambda functions that read it.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
+import math
 import os
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from annalith.session import shuffle_partitions
+from annalith.session import checkpointed, shuffle_partitions
 
 FOLDER = "/opt/tokenizers"
 BUCKETS = 1 << 14
-#: Pieces of more bytes than this are merged with a heap, since the fold copies what is left of a piece at each merge.
-FOLD_BYTES = 512
-# The pattern of the vocabulary, with white space written out, as Java's \s is ASCII only.
-SPACE = r"\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+#: The frequent pieces that are constants beside the vocabulary: at most this many, each of at most this many bytes.
+FREQUENT, FREQUENT_BYTES = 50_000, 64
+#: Frequencies are told apart in steps of this ratio when the frequent pieces are chosen.
+STEP = 1.1
+# The pattern of the vocabulary; (?U) makes \s the white space of Unicode.
+PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def read_ranks(name: str = "byte_bpe_50k", folder: str = FOLDER) -> dict[bytes, int]:
@@ -34,165 +36,197 @@ def read_ranks(name: str = "byte_bpe_50k", folder: str = FOLDER) -> dict[bytes,
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def rank_map(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
-    """The constant array of BUCKETS maps from token to rank."""
-    rows = spark.createDataFrame(pd.DataFrame({"token": list(ranks), "rank": list(ranks.values())}), "token binary, rank int")
-    buckets = rows.groupBy(_bucket(F.col("token")).alias("bucket")).agg(F.map_from_entries(F.collect_list(F.struct("token", "rank"))).alias("m"))
-    every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(buckets, "bucket", "left")
-    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "m")), lambda a, b: a["bucket"] - b["bucket"]), lambda x: x["m"]).alias("m")).scalar()
+def constant_map(entries: DataFrame, key: str, value: str, buckets: int = BUCKETS) -> Column:
+    """The constant array of ``buckets`` maps, by hash of the key, with all rows of ``entries``, whose number is bounded."""
+    held = entries.groupBy(_bucket(F.col(key), buckets).alias("bucket")).agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("m"))
+    every = entries.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(held, "bucket", "left")
+    ordered = F.array_sort(F.collect_list(F.struct("bucket", "m")), lambda a, b: a["bucket"] - b["bucket"])
+    return every.agg(F.transform(ordered, lambda x: x["m"]).alias("m")).scalar()
 
 
-def _bucket(token: Column) -> Column:
-    return F.pmod(F.hash(token), F.lit(BUCKETS))
+def rank_table(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
+    return spark.createDataFrame(pd.DataFrame({"token": list(ranks), "rank": list(ranks.values())}), "token binary, rank int")
 
 
-def rank_of(ranks: Column, token: Column) -> Column:
-    """The rank of a token, null if it is none."""
-    return F.try_element_at(F.get(ranks, _bucket(token)), token)
+def _bucket(token: Column, buckets: int) -> Column:
+    return F.pmod(F.hash(token), F.lit(buckets))
+
+
+def value_of(constant: Column, key: Column, buckets: int = BUCKETS) -> Column:
+    """What a constant map has for a key, null if nothing."""
+    return F.try_element_at(F.get(constant, _bucket(key, buckets)), key)
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def fold_merges(ranks: Column, piece: Column) -> Column:
-    """The tokens, as an array of binary, of the binary ``piece`` (1 byte at least).
+    """The tokens, as an array of binary, of the binary ``piece`` (1 byte at least). ``ranks`` is bound outside.
 
-    The state is the parts and the ranks of adjacent pairs; a merge looks up the two pairs it makes new. When no pair has a
-    rank the state stays as it is.
+    The state is the parts, the ranks of adjacent pairs and the lowest of them. A step merges all occurrences of the pair of
+    lowest rank, from the left and without overlap, which gives what merging them one by one gives unless a pair that
+    this makes has a still lower rank; then only the leftmost is merged in this step. So the steps are as many as there are
+    different merges in the piece. When no pair has a rank the state stays as it is.
     """
     n = F.length(piece)
+    none = F.array().cast("array<int>")
     parts = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(piece, i, F.lit(1)))
-    pairs = F.when(
-        n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: rank_of(ranks, F.substring(piece, i, F.lit(2))))
-    ).otherwise(F.array().cast("array<int>"))
-
-    def merge(s: Column, _: Column) -> Column:
-        at = F.array_position(s["r"], F.array_min(s["r"])).cast("int")  # 1 is the pair of parts 1 and 2
-        p, r, size = s["p"], s["r"], F.size(s["p"])
-        joined = F.concat(F.get(p, at - 1), F.get(p, at))
-        left = F.when(at > 1, rank_of(ranks, F.concat(F.get(p, at - 2), joined)))
-        right = F.when(at + 1 < size, rank_of(ranks, F.concat(joined, F.get(p, at + 1))))
-        new_ranks = F.concat(
-            F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))),
-            F.when(at > 1, F.array(left)).otherwise(F.array().cast("array<int>")),
-            F.when(at + 1 < size, F.array(right)).otherwise(F.array().cast("array<int>")),
-            F.slice(r, at + 2, F.greatest(F.size(r) - at - 1, F.lit(0))),
-        )
-        new_parts = F.concat(F.slice(p, F.lit(1), at - 1), F.array(joined), F.slice(p, at + 2, F.greatest(size - at - 1, F.lit(0))))
-        return F.when(F.array_min(r).isNull(), s).otherwise(F.struct(new_parts.alias("p"), new_ranks.alias("r")))
-
-    return F.aggregate(F.sequence(F.lit(1), n), F.struct(parts.alias("p"), pairs.alias("r")), merge)["p"]
-
-
-def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of a piece of any length, in n log n: a heap of ranked pairs over a linked list of parts."""
-    if piece in ranks:
-        return [ranks[piece]]
-    start = list(range(len(piece)))
-    after, before = [i + 1 for i in start], [i - 1 for i in start]
-    end = [i + 1 for i in start]
-    alive = [True] * len(piece)
-    heap: list = []
-
-    def push(i: int) -> None:
-        j = after[i]
-        if j < len(piece) and (r := ranks.get(piece[i : end[j]])) is not None:
-            heapq.heappush(heap, (r, i, end[j]))
-
-    for i in start[:-1]:
-        push(i)
-    while heap:
-        _, i, e = heapq.heappop(heap)
-        j = after[i] if alive[i] else len(piece)
-        if j >= len(piece) or end[j] != e:
-            continue
-        end[i], alive[j] = e, False
-        after[i] = after[j]
-        if after[j] < len(piece):
-            before[after[j]] = i
-        push(i)
-        if before[i] >= 0:
-            push(before[i])
-    return [ranks[piece[i : end[i]]] for i in start if alive[i]]
-
-
-def _long_pieces(spark: SparkSession, ranks: dict[bytes, int]):
-    """The heap's merges as a function of a column; the vocabulary, of a fixed size, is broadcast from the driver."""
-    shared = spark.sparkContext.broadcast(ranks)
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def ids(pieces: pd.Series) -> pd.Series:
-        if pieces.isna().all():
-            return pd.Series([None] * len(pieces), dtype=object)
-        return pieces.map(lambda p: None if p is None else merge_long(bytes(p), shared.value))
-
-    return ids
+    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: value_of(ranks, F.substring(piece, i, F.lit(2))))).otherwise(none)
 
+    def state(p: Column, r: Column) -> Column:
+        return bound(r, lambda x: F.struct(p.alias("p"), x.alias("r"), F.array_min(x).alias("m")))
 
-def one_text(df: DataFrame, ident: str, text: str) -> DataFrame:
-    """id, text: one row for each identifier; of several texts the greatest counts."""
-    return df.groupBy(F.col(ident).alias("id")).agg(F.max(text).alias("text"))
+    def merged(s: Column, at: Column, here: Callable[[Column], Column]) -> Column:
+        """The state with the pairs merged that begin at the places ``at`` (from 0), which are those for which ``here`` holds."""
+        places = F.array_except(F.sequence(F.lit(0), F.size(s["p"]) - 1), F.transform(at, lambda i: i + 1))
 
+        def with_places(k: Column) -> Column:
+            joined = F.transform(k, lambda i: F.when(here(i), F.concat(F.get(s["p"], i), F.get(s["p"], i + 1))).otherwise(F.get(s["p"], i)))
 
-def pieces_of(texts: DataFrame) -> DataFrame:
-    """id, piece, places: the distinct pieces of each text and where they stand. The partitioning by id is kept."""
-    return (
-        texts.where("text <> ''")
-        .select("id", F.posexplode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("at", "piece"))
-        .groupBy("id", "piece")
-        .agg(F.collect_list("at").alias("places"))
-    )
+            def with_parts(p: Column) -> Column:
+                def rank(j: Column) -> Column:
+                    new = here(F.get(k, j)) | here(F.get(k, j + 1))
+                    return F.when(new, value_of(ranks, F.concat(F.get(p, j), F.get(p, j + 1)))).otherwise(F.get(s["r"], F.get(k, j)))
+
+                return state(p, F.when(F.size(k) > 1, F.transform(F.sequence(F.lit(0), F.greatest(F.size(k) - 2, F.lit(0))), rank)).otherwise(none))
+
+            return bound(joined, with_parts)
 
+        return bound(places, with_places)
 
-def encoded_pieces(pieces: DataFrame, name: str, folder: str) -> DataFrame:
-    """piece, ids: each distinct piece encoded once.
+    def step(s: Column, _: Column) -> Column:
+        lowest = lambda i: F.get(s["r"], i).eqNullSafe(s["m"])
+
+        def one(c: Column) -> Column:
+            return bound(F.get(c, 0), lambda first: merged(s, F.array(first), lambda i: i == first))
+
+        def every(c: Column) -> Column:
+            # runs of places one after the other are equal parts in a row: every second place of a run is merged; the
+            # others are second parts of those, so of the places that stay ``lowest`` holds for the chosen ones
+            starts = F.filter(c, lambda i: (i == 0) | ~lowest(i - 1))
+            ends = F.filter(c, lambda i: ~lowest(i + 1))
+            chosen = F.flatten(F.zip_with(starts, ends, lambda a, b: F.sequence(a, b, F.lit(2))))
+            part = lambda i: F.get(s["p"], F.get(c, 0) + i)
+            again = value_of(ranks, F.concat(part(0), part(1), part(0)))
+            safe = lambda t: F.coalesce(t["m"] >= s["m"], F.lit(True)) & F.coalesce(again > s["m"], F.lit(True))
+            return bound(merged(s, chosen, lowest), lambda t: F.when(safe(t), t).otherwise(one(c)))
+
+        places = F.filter(F.sequence(F.lit(0), F.size(s["r"]) - 1), lowest)
+        return F.when(s["m"].isNull(), s).otherwise(bound(places, lambda c: F.when(F.size(c) == 1, one(c)).otherwise(every(c))))
+
+    return F.aggregate(F.sequence(F.lit(1), n), state(parts, pairs), step)["p"]
+
+
+def one_text(df: DataFrame, ident: str, text: str) -> DataFrame:
+    """id, text: one row for each identifier; of several texts the greatest counts, and none is the empty one.
 
-    Pieces are gathered by hash into chunks, so that the rank map, which no expression of a lambda may fetch itself, is a
-    column of a few rows; the number of chunks follows the number of shuffle partitions.
+    The filter holds for every row. It keeps the optimizer from merging what follows into the aggregate, where constants
+    would be carried by each row.
     """
-    spark = pieces.sparkSession
-    vocabulary = read_ranks(name, folder)
-    ranks = F.col("ranks")
-    words = pieces.select("piece").distinct().select("piece", F.encode("piece", "UTF-8").alias("b"))
-    long = F.length("b") > FOLD_BYTES
-    chunks = (
-        words.withColumn("long_ids", _long_pieces(spark, vocabulary)(F.when(long, F.col("b"))))
-        .groupBy(F.pmod(F.xxhash64("piece"), F.lit(max(256, 16 * shuffle_partitions(spark)))).alias("chunk"))
-        .agg(F.collect_list(F.struct("piece", "b", "long_ids")).alias("words"))
-        .select("words", rank_map(spark, vocabulary).alias("ranks"))
-    )
+    return df.groupBy(F.col(ident).alias("id")).agg(F.coalesce(F.max(text), F.lit("")).alias("text")).where(F.octet_length("text") >= 0)
+
+
+def pieces_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+
+
+def with_constants(df: DataFrame, body: Callable[..., Column], alias: str, **constants: Column) -> DataFrame:
+    """``df`` with the column ``body``(constants...). ``body`` names each constant once, so that the optimizer puts it in place
+    and no row carries it; a subquery may not stand in a higher-order function before that."""
+    held = df.select("*", *(c.alias(f"_{k}") for k, c in constants.items()))
+    return held.select(*df.columns, body(*(F.col(f"_{k}") for k in constants)).alias(alias))
+
+
+def encoded_pieces(df: DataFrame, text: str, ranks: Column) -> DataFrame:
+    """piece, n (occurrences in all rows), ids: each distinct piece, encoded once; no ids if it is itself a token."""
+    counted = df.where(F.col(text) != "").select(F.explode(pieces_of(F.col(text))).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
+    b = F.col("piece").cast("binary")
+    encode = lambda m: F.when(value_of(m, b).isNull(), F.transform(fold_merges(m, b), lambda t: value_of(m, t)))
+    return with_constants(counted.repartition(shuffle_partitions(df.sparkSession)), lambda m: bound(m, encode), "ids", ranks=ranks)
 
-    def encode(w: Column) -> Column:
-        whole = rank_of(ranks, w["b"])
-        folded = F.transform(fold_merges(ranks, w["b"]), lambda t: rank_of(ranks, t))
-        ids = F.when(whole.isNotNull(), F.array(whole)).when(w["long_ids"].isNotNull(), w["long_ids"]).otherwise(folded)
-        return F.struct(w["piece"].alias("piece"), ids.alias("ids"))
 
-    return chunks.select(F.inline(F.transform("words", encode)))
+def frequent_pieces(encoded: DataFrame, most: int) -> DataFrame:
+    """The rows of ``encoded`` for the most frequent pieces, ``most`` at most, found by a histogram of the frequencies."""
+    short = encoded.where(F.col("ids").isNotNull() & (F.octet_length("piece") <= FREQUENT_BYTES)).withColumn("bin", F.floor(F.log("n") / math.log(STEP)).cast("int"))
+    bins = short.groupBy("bin").agg(F.count("*").alias("pieces")).orderBy(F.desc("bin")).collect()
+    held, least = 0, None
+    for r in bins:
+        held += r["pieces"]
+        if held > most:
+            break
+        least = r["bin"]
+    return short.where(F.col("bin") >= least) if least is not None else short.where(F.lit(False))
 
 
-def encode_texts(df: DataFrame, ident: str, text: str, name: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
+def _looked_up(df: DataFrame, ident: str, text: str, name: str, folder: str, frequent: int, ids: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """(id, found: ``ids`` of each piece of the text, null if it is rare, and the piece), and the encoded pieces."""
+    table = rank_table(df.sparkSession, read_ranks(name, folder))
+    encoded = checkpointed(encoded_pieces(df.select(text), text, constant_map(table, "token", "rank")))
+    entries = table.select(F.col("token").cast("string").alias("piece"), F.array("rank").alias("ids")).unionByName(frequent_pieces(encoded, frequent).select("piece", "ids"))
+    known = constant_map(entries.select("piece", ids(F.col("ids")).alias("ids")), "piece", "ids")
+    pieces = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(pieces_of(F.col("text")))
+    found = lambda k: F.transform(pieces, lambda t: F.struct(value_of(k, t).alias("ids"), t.alias("piece")))
+    return with_constants(one_text(df, ident, text), found, "found", known=known).select("id", "found"), encoded
+
+
+def _rare(found: Column) -> Column:
+    return F.transform(F.filter(found, lambda x: x["ids"].isNull()), lambda x: x["piece"])
+
+
+def encode_texts(df: DataFrame, ident: str, text: str, name: str = "byte_bpe_50k", folder: str = FOLDER, frequent: int = FREQUENT) -> DataFrame:
     """``ident``, ids: the token ids of each text, without special tokens; what looks like one is plain text.
 
     Null and empty texts give an empty list. Repeated rows count once; of several texts of an identifier the greatest in
-    byte order counts. A null identifier is one like others. Extra columns are ignored.
+    byte order counts. A null identifier is one like others. Extra columns are ignored. Of the pieces only the ``frequent``
+    ones are constants; the others are joined, sorted on both sides, whatever their number.
     """
-    texts = one_text(df, ident, text)
-    pieces = pieces_of(texts)
-    joined = pieces.join(encoded_pieces(pieces, name, folder), "piece")
-    placed = F.flatten(F.transform(F.collect_list(F.struct("places", "ids")), lambda x: F.transform(x["places"], lambda at: F.struct(at.alias("at"), x["ids"].alias("ids")))))
-    filled = joined.groupBy("id").agg(F.flatten(F.transform(F.sort_array(placed), lambda x: x["ids"])).alias("ids"))
-    empty = texts.where("text IS NULL OR text = ''").select("id", F.array().cast("array<int>").alias("ids"))
-    return filled.unionByName(empty).select(F.col("id").alias(ident), "ids")
+    looked, encoded = _looked_up(df, ident, text, name, folder, frequent, lambda ids: ids)
+    rare = _rare(F.col("found"))
+    whole = F.forall("found", lambda x: x["ids"].isNotNull())
+    known = F.transform("found", lambda x: x["ids"])
+    # the ids of a text without rare pieces are final; others keep a list for each piece until the rest is there
+    held = checkpointed(looked.select("id", F.when(whole, F.flatten(known)).alias("ids"), F.when(~whole, known).alias("known"), F.when(~whole, rare).alias("rare")))
+    open_ = held.where("rare IS NOT NULL")
+    placed = (
+        open_.select("id", F.posexplode("rare").alias("at", "piece"))
+        .hint("merge")
+        .join(encoded.select("piece", F.col("ids").alias("each")), "piece")
+        .groupBy("id")
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "each"))), lambda x: x["each"]).alias("late"))
+        .withColumnRenamed("id", "late_id")
+    )
+    # stretches of known pieces, each but the first after a rare one
+    gaps = F.filter(F.transform("known", lambda x, i: F.when(x.isNull(), i)), lambda i: i.isNotNull())
+
+    def stretch(at: Column, k: Column) -> Column:
+        stop = F.coalesce(F.get("gaps", k), F.size("known"))
+        before = F.when(k > 0, F.get("late", k - 1)).otherwise(F.array().cast("array<int>"))
+        return F.concat(before, F.flatten(F.slice("known", at + 2, stop - at - 1)))
+
+    filled = (
+        open_.select("id", "known", gaps.alias("gaps"))
+        .hint("merge")
+        .join(placed, F.col("id").eqNullSafe(F.col("late_id")))
+        .select("id", F.flatten(F.transform(F.concat(F.array(F.lit(-1)), "gaps"), stretch)).alias("ids"))
+    )
+    return held.where("rare IS NULL").select("id", "ids").unionByName(filled).select(F.col("id").alias(ident), "ids")
 
 
-def count_tokens(df: DataFrame, ident: str, text: str, name: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:
+def count_tokens(df: DataFrame, ident: str, text: str, name: str = "byte_bpe_50k", folder: str = FOLDER, frequent: int = FREQUENT) -> DataFrame:
     """``ident``, tokens: the number of ids that ``encode_texts`` gives."""
-    texts = one_text(df, ident, text)
-    pieces = pieces_of(texts)
-    joined = pieces.select("id", "piece", F.size("places").alias("n")).join(
-        encoded_pieces(pieces, name, folder).select("piece", F.size("ids").alias("each")), "piece"
+    looked, encoded = _looked_up(df, ident, text, name, folder, frequent, lambda ids: F.size(ids))
+    total = F.aggregate("found", F.lit(0), lambda a, x: a + F.coalesce(x["ids"], F.lit(0)))
+    held = checkpointed(looked.select("id", total.alias("tokens"), _rare(F.col("found")).alias("rare")))
+    late = (
+        held.select("id", F.explode("rare").alias("piece"))
+        .hint("merge")
+        .join(encoded.select("piece", F.size("ids").alias("tokens")), "piece")
+        .select("id", "tokens")
     )
-    filled = joined.groupBy("id").agg(F.sum(F.col("n") * F.col("each")).cast("int").alias("tokens"))
-    empty = texts.where("text IS NULL OR text = ''").select("id", F.lit(0).alias("tokens"))
-    return filled.unionByName(empty).select(F.col("id").alias(ident), "tokens")
+    whole = held.select("id", "tokens").unionByName(late).groupBy("id").agg(F.sum("tokens").cast("int").alias("tokens"))
+    return whole.select(F.col("id").alias(ident), "tokens")
 
 
 def decode_ids(df: DataFrame, ident: str, ids: str, name: str = "byte_bpe_50k", folder: str = FOLDER) -> DataFrame:

@@ -32,13 +32,23 @@ def test_same_ids_and_round_trip(spark, encoding):
     assert {x.doc_id: x.text for x in tokens.decode_ids(out, "doc_id", "ids").collect()} == {i: t or "" for i, t in enumerate(texts)}
 
 
-def test_long_pieces_by_heap(encoding):
-    ranks = tokens.read_ranks()
+def test_pieces_of_any_length(spark, encoding):
     r = random.Random(10)
-    for _ in range(300):
-        piece = "".join(r.choices("abcdeé日 ", k=r.randrange(1, 60))).encode()
-        assert tokens.merge_long(piece, ranks) == encoding._encode_single_piece(piece)
-    assert len(tokens.merge_long(b"xyz" * 30000, ranks)) > 1000
+    runs = ["".join(r.choices("abcdeé日", k=r.randrange(1, 60))) for _ in range(300)]
+    runs += ["xyz" * 1000, "=" * 5001, "a" * 1025, "ab" * 999 + "a", "aba" * 333, "日本" * 500, "".join(r.choices("ACGT", k=1500)), "".join(r.choices("etaoins", k=900))]
+    df = spark.createDataFrame(list(enumerate(runs)), "doc_id long, text string")
+    for frequent in (0, 60):
+        out = tokens.encode_texts(df, "doc_id", "text", frequent=frequent)
+        assert {x.doc_id: list(x.ids) for x in out.collect()} == {i: encoding.encode_ordinary(t) for i, t in enumerate(runs)}
+        counts = tokens.count_tokens(df, "doc_id", "text", frequent=frequent)
+        assert {x.doc_id: x.tokens for x in counts.collect()} == {i: len(encoding.encode_ordinary(t)) for i, t in enumerate(runs)}
+
+
+def test_frequent_pieces_are_bounded(spark):
+    df = spark.range(1000).selectExpr("cast(id AS string) AS piece", "id + 1 AS n", "array(1) AS ids")
+    assert 0 < tokens.frequent_pieces(df, 300).count() <= 300
+    assert tokens.frequent_pieces(df, 300).selectExpr("min(n)").first()[0] > 600
+    assert tokens.frequent_pieces(df.limit(0), 300).count() == 0
 
 
 def test_empty_and_null_identifier(spark):
