@@ -24,6 +24,8 @@ FOLDER = "/opt/tokenizers"
 BUCKETS = 1 << 14
 #: The frequent pieces that are constants beside the vocabulary: at most this many, each of at most this many bytes.
 FREQUENT, FREQUENT_BYTES = 50_000, 64
+#: What stands in an array of ids for a piece whose ids are still to come.
+GAP = -1
 #: Frequencies are told apart in steps of this ratio when the frequent pieces are chosen.
 STEP = 1.1
 # The pattern of the vocabulary; (?U) makes \s the white space of Unicode.
@@ -183,12 +185,10 @@ def encode_texts(df: DataFrame, ident: str, text: str, name: str = "byte_bpe_50k
     ones are constants; the others are joined, sorted on both sides, whatever their number.
     """
     looked, encoded = _looked_up(df, ident, text, name, folder, frequent, lambda ids: ids)
-    rare = _rare(F.col("found"))
-    whole = F.forall("found", lambda x: x["ids"].isNotNull())
-    known = F.transform("found", lambda x: x["ids"])
-    # the ids of a text without rare pieces are final; others keep a list for each piece until the rest is there
-    held = checkpointed(looked.select("id", F.when(whole, F.flatten(known)).alias("ids"), F.when(~whole, known).alias("known"), F.when(~whole, rare).alias("rare")))
-    open_ = held.where("rare IS NOT NULL")
+    # ids in one array, with GAP where a rare piece stands
+    ids = F.flatten(F.transform("found", lambda x: F.coalesce(x["ids"], F.array(F.lit(GAP)))))
+    held = checkpointed(looked.select("id", ids.alias("ids"), _rare(F.col("found")).alias("rare")))
+    open_ = held.where(F.size("rare") > 0)
     placed = (
         open_.select("id", F.posexplode("rare").alias("at", "piece"))
         .hint("merge")
@@ -197,21 +197,20 @@ def encode_texts(df: DataFrame, ident: str, text: str, name: str = "byte_bpe_50k
         .agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "each"))), lambda x: x["each"]).alias("late"))
         .withColumnRenamed("id", "late_id")
     )
-    # stretches of known pieces, each but the first after a rare one
-    gaps = F.filter(F.transform("known", lambda x, i: F.when(x.isNull(), i)), lambda i: i.isNotNull())
+    gaps = F.filter(F.transform("ids", lambda x, i: F.when(x == GAP, i)), lambda i: i.isNotNull())
 
     def stretch(at: Column, k: Column) -> Column:
-        stop = F.coalesce(F.get("gaps", k), F.size("known"))
+        """The ids of the rare piece at a gap, and those up to the next one."""
         before = F.when(k > 0, F.get("late", k - 1)).otherwise(F.array().cast("array<int>"))
-        return F.concat(before, F.flatten(F.slice("known", at + 2, stop - at - 1)))
+        return F.concat(before, F.slice("ids", at + 2, F.coalesce(F.get("gaps", k), F.size("ids")) - at - 1))
 
     filled = (
-        open_.select("id", "known", gaps.alias("gaps"))
+        open_.select("id", "ids", gaps.alias("gaps"))
         .hint("merge")
         .join(placed, F.col("id").eqNullSafe(F.col("late_id")))
         .select("id", F.flatten(F.transform(F.concat(F.array(F.lit(-1)), "gaps"), stretch)).alias("ids"))
     )
-    return held.where("rare IS NULL").select("id", "ids").unionByName(filled).select(F.col("id").alias(ident), "ids")
+    return held.where(F.size("rare") == 0).select("id", "ids").unionByName(filled).select(F.col("id").alias(ident), "ids")
 
 
 def count_tokens(df: DataFrame, ident: str, text: str, name: str = "byte_bpe_50k", folder: str = FOLDER, frequent: int = FREQUENT) -> DataFrame:
