@@ -1,31 +1,41 @@
 """Clean text from documents with HTML, Markdown, MediaWiki or LaTeX markup.
 
 A document is cut into blocks; the blocks' signs are lexed into markup tokens and text. Signs count as markup only in a
-form in which they are rendered: a price, a comparison, a set or a file name is text. Blocks that are records of their kind
-(templates, tables, lists, environments) form the token streams of a host, which is the language with the opening token;
-from all of them a wrapper is inferred for each host (see ``wrappers``), and a block that its host's wrapper
-matches gives its text slots, one line for each repetition. Other blocks are rendered token by token. A document in which
-no token is markup stays as it is.
+form in which they are rendered: a price, a comparison, a set or a file name is text. What stands between an opening and a
+closing sign, a run of lines of one kind, and a record (template, table, list, environment) are token streams of a host,
+which is the language with the kind of sign or the opening token. From all streams of a host wrappers are inferred (see
+``wrappers``). A document has markup if a wrapper matches one of its streams. A record that a wrapper of its host matches gives
+its text slots, one line for each repetition; other blocks are rendered token by token. A document in which no token is
+markup stays as it is.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from html.entities import html5
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from annalith.llm import wrappers
+from annalith.session import checkpointed
 
-#: Shapes of records a task gathers before it hands them on.
+#: Shapes of streams a task remembers as handed on.
 HELD = 50_000
+#: Shapes of a host that are aligned in one place.
+ALIGNED = 1_000
+#: Wrappers of records that are broadcast, those of most support; records of others are rendered token by token.
+MOST_WRAPPERS = 5_000
+#: Tasks over which the rows of one frequent shape are spread.
+SALTS = 32
 
 # Element names of HTML and of the wiki extensions, behaviour switches, and commands without an argument.
 ELEMENTS = set(
@@ -55,7 +65,7 @@ INLINE = re.compile(
             r"(?P<cite><ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref\s*>)",
             TAG,
             r"(?P<auto><(?P<au>(?:https?|ftp|mailto):[^\s<>]+)>)",
-            r"(?P<entity>&(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|(?P<en>[A-Za-z][A-Za-z0-9]{1,31}));)",
+            r"(?P<entity>&(?:#\d+|#[xX][0-9A-Fa-f]+|(?P<en>[A-Za-z][A-Za-z0-9]+));)",
             r"(?P<image>!\[(?P<alt>[^\]\n]*)\]\([^()\s]+(?:\s+\"[^\"\n]*\")?\))",
             r"(?P<mdlink>\[(?P<mt>[^\[\]\n]+)\](?:\([^()\s]+(?:\s+\"[^\"\n]*\")?\)|\[[^\[\]\n]+\]))",
             r"(?P<note>\[\^[^\]\s]+\]:?)",
@@ -67,7 +77,7 @@ INLINE = re.compile(
             rf"(?P<switch>__(?:{SWITCHES})__)",
             r"(?P<sign>~{3,5}(?![^\s.,;]))",
             r"(?P<dmath>\$\$(?P<dm>.+?)\$\$|\\\[(?P<dn>.+?)\\\]|\\\((?P<dp>.+?)\\\))",
-            r"(?P<imath>(?<![\\$\w])\$(?P<im>[A-Za-z]|(?=[^$\n]*[\\^_{}=])[^\s$](?:[^$\n]{0,300}?[^\s$\\])?)\$(?![\d$]))",
+            r"(?P<imath>(?<![\\$\w])\$(?P<im>[A-Za-z]|(?=[^$\n]*[\\^_{}=])[^\s$](?:[^$\n]*?[^\s$\\])?)\$(?![\d$]))",
             r"(?P<tick>(?P<tk>`{1,3})(?=[^`])(?P<tc>[^`\n]+)(?P=tk)(?!`))",
             r"(?P<quote>(?P<q>'{2,5})(?=[^\s'])(?P<qt>[^\n]+?)(?<![\s'])(?P=q)(?!'))",
             r"(?P<strong>(?<![\\\w*])\*\*(?=[^\s*])(?P<st>[^\n]+?)(?<=[^\s*])\*\*(?![\w*])|(?<![\\\w])__(?=[^\s_])(?P<su>[^\n]+?)(?<=[^\s_])__(?!\w))",
@@ -89,12 +99,12 @@ LANGUAGE = {
     **dict.fromkeys(("dmath", "imath", "env", "cmd", "bare", "escape"), "latex"),
 }
 #: What may hold markup at all; the rest is passed on unread.
-SUSPECT = r"(?m)[<&\[{`~\\$|*_]|''|^\s{0,8}(?:[-+#:;>%=]|\d{1,3}[.)]\s)"
+SUSPECT = r"(?m)[<&\[{`~\\$|*_]|''|^\s*(?:[-+#:;>%=]|\d+[.)]\s)"
 
 _FENCE = re.compile(r"^ {0,3}(```+|~~~+)\s*([\w+-]*)\s*$")
 _HEAD = re.compile(r"^(?P<w>={1,6})\s*(?P<wt>[^=\s](?:.*?[^=\s])?)\s*(?P=w)\s*$|^(?P<m>#{1,6}) +(?P<mt>\S.*?)(?: +#+)?\s*$")
-_LIST = re.compile(r"^(?P<i>\s{0,12})(?P<b>[-+*]|[*#:;]+)\s+(?P<t>\S.*)$")
-_ORDERED = re.compile(r"^(?P<i>\s{0,12})(?P<n>\d{1,3})[.)]\s+(?P<t>\S.*)$")
+_LIST = re.compile(r"^(?P<i>\s*)(?P<b>[-+*]|[*#:;]+)\s+(?P<t>\S.*)$")
+_ORDERED = re.compile(r"^(?P<i>\s*)(?P<n>\d{1,9})[.)]\s+(?P<t>\S.*)$")
 _RULE = re.compile(r"^ {0,3}(?:-{3,}|(?:\* *){3,}|(?:_ *){3,}|(?:- +){2,}-)\s*$")
 _UNDERLINE = re.compile(r"^(?:={2,}|-{2,})\s*$")
 _ROW = re.compile(r"^\s{0,3}\|.*\|\s*$")
@@ -105,6 +115,8 @@ _REDIRECT = re.compile(r"^#REDIRECT\b", re.I)
 _SIGN = re.compile(
     r"<[^<>]*>|\{\{[^|{}\n]*|\}\}|\[\[|\]\]|^\{\|[^\n]*|^\|\}|^\|-[^\n]*|\|\||!!|(?<=\|)[\w ]+=|\||^!|\\(?:begin|end)\{[^{}]*\}|\\item|^[*#:;]+|^\s*[-+]\s", re.M
 )
+#: The signs at the edges of an inline token, at most as long as any language's.
+_EDGES = re.compile(r"([^\w\s]{0,4})(?:.*?)([^\w\s]{0,4})$", re.S)
 #: What an inline token can begin with.
 _FIRST = re.compile(r"[<&!\[{_~$\\`'*]")
 
@@ -116,6 +128,7 @@ class Block:
     level: int = 0
     marked: bool = False
     language: str = ""
+    sign: str = ""  # what marks it as a line of its kind; none if it is a record
 
 
 def tokens_of(text: str) -> list[wrappers.Token]:
@@ -125,35 +138,44 @@ def tokens_of(text: str) -> list[wrappers.Token]:
     for m in _SIGN.finditer(text):
         if text[at : m.start()].strip():
             out.append((False, text[at : m.start()].strip()))
-        out.append((True, re.sub(r"\s+", " ", m.group().strip())))
+        out.append((True, bare_sign(m.group())))
         at = m.end()
     if text[at:].strip():
         out.append((False, text[at:].strip()))
     return out
 
 
+def bare_sign(sign: str) -> str:
+    """A sign without its attributes, which differ from record to record."""
+    sign = re.sub(r"\s+", " ", sign.strip())
+    if sign.startswith("<") and (m := re.match(r"</?\w+", sign)):
+        return m.group() + ">"
+    return sign[:2] if sign.startswith(("{|", "|-")) else sign
+
+
 def host_of(language: str, stream: list[wrappers.Token]) -> str:
     """The language and the opening token, of a template with its name; attributes don't matter."""
     return f"{language} {re.sub(r'(?<=[<|])(\w*)[^\w>].*', r'\1', stream[0][1])}"
 
 
 class Cleaner:
-    """Reads one document at a time. ``known`` has the wrappers of the hosts."""
+    """Reads one document at a time. ``known`` has the wrappers of the hosts, those of most support first."""
 
-    def __init__(self, known: dict[str, tuple] | None = None):
+    def __init__(self, known: dict[str, list[tuple]] | None = None):
         self.known = known or {}
         self.found: set[str] = set()  # languages of the markup of the document in hand
         self.records: list[tuple[str, list[wrappers.Token]]] = []
+        self.lines: list[Block] = []
+        self.inlines: set[tuple[str, str, str]] = set()  # host, opening and closing sign
 
     def record(self, language: str, text: str) -> str | None:
-        """The lines of a record by its host's wrapper, None if there is none that matches."""
+        """The lines of a record by the first wrapper of its host that matches, None if there is none."""
         stream = tokens_of(text)
         if not stream:
             return ""
         host = host_of(language, stream)
         self.records.append((host, stream))
-        wrapper = self.known.get(host)
-        rows = wrappers.extract(wrapper, stream) if wrapper else None
+        rows = next((r for w in self.known.get(host, ()) if (r := wrappers.extract(w, stream)) is not None), None)
         if rows is None:
             return None
         return "\n".join(" | ".join(self.inline(x) for x in r) for r in rows if r)
@@ -180,6 +202,9 @@ class Cleaner:
         if kind == "entity" and m.group("en") and m.group("en") + ";" not in html5:
             return None
         self.found.add(LANGUAGE[kind])
+        signs = _EDGES.match(m.group())
+        name = m.group("tag").lower() if kind == "tag" else m.group("cn") if kind == "cmd" else ""
+        self.inlines.add((f"{LANGUAGE[kind]} {kind} {name}".strip(), signs.group(1) + name, signs.group(2)))
         if kind in ("comment", "script", "cite", "file", "param", "switch", "sign", "note", "env"):
             return ""
         if kind == "verb":
@@ -224,7 +249,7 @@ class Cleaner:
 
     def blocks(self, text: str) -> list[Block]:
         """The document's blocks in order; ``found`` says which languages its markup is of."""
-        self.found, self.records = set(), []
+        self.found, self.records, self.inlines = set(), [], set()
         lines = text.replace("\r\n", "\n").split("\n")
         out: list[Block] = []
         plain: list[str] = []
@@ -238,10 +263,10 @@ class Cleaner:
                 out.append(Block("text", clean, marked=clean != whole or self.found != before))
                 plain.clear()
 
-        def mark(kind: str, content: str, language: str, level: int = 0) -> None:
+        def mark(kind: str, content: str, language: str, level: int = 0, sign: str = "") -> None:
             flush()
             self.found.add(language)
-            out.append(Block(kind, content, level, True, language))
+            out.append(Block(kind, content, level, True, language, sign or kind))
 
         k = 0
         while k < len(lines):
@@ -261,7 +286,7 @@ class Cleaner:
                     continue
             elif span:
                 kind, language, end, content = span
-                mark(kind, content, language)
+                mark(kind, content, language, sign=re.match(r"[^\w\s]*\w*", line.strip()).group())
                 k = end
                 continue
             elif free and line.startswith("# ") and (after.startswith("# ") or k and lines[k - 1].startswith("# ")):
@@ -309,12 +334,28 @@ class Cleaner:
                 continue
             elif _REDIRECT.match(line):
                 self.found.add("mediawiki")
+                self.inlines.add(("mediawiki redirect", "#REDIRECT", ""))
             plain.append(line)
             free = False
             k += 1
         flush()
+        self.lines = out
         return out
 
+    def streams(self) -> Iterator[tuple[str, tuple]]:
+        """(host, shape) of all streams of the document read last: its records, runs of marked lines, and inline tokens."""
+        for host, stream in self.records:
+            yield host, wrappers.slotted(wrappers.start(stream))
+        for host, opening, closing in self.inlines:
+            yield host, ((True, opening), wrappers.SLOT, *([(True, closing)] if closing else []))
+        run: list[Block] = []
+        for b in [*self.lines, None]:
+            if run and (b is None or not b.sign or (b.kind, b.language) != (run[0].kind, run[0].language)):
+                yield f"{run[0].language} {run[0].kind}", wrappers.collapse(tuple(x for r in run for x in ((True, r.sign), wrappers.SLOT)))
+                run = []
+            if b is not None and b.sign:
+                run.append(b)
+
     @staticmethod
     def counted(line: str, n: int) -> bool:
         m = _ORDERED.match(line)
@@ -401,53 +442,105 @@ def suspect(text: Column) -> Column:
     return text.rlike(SUSPECT)
 
 
-def infer_wrappers(df: DataFrame, text: str) -> dict[str, tuple]:
-    """The wrapper of each host, from the blocks of all suspect texts.
+def read_streams(df: DataFrame, keys: Sequence[str], text: str, records_only: bool = False) -> DataFrame:
+    """``keys``, h, host, shape: one row for each shape of a row's streams; h is a hash of host and shape.
 
-    A task hands on each collapsed shape of a host (texts as slots) with its count; the distinct shapes of a host are aligned
-    in one place, the most frequent first. One wrapper for each host reaches the driver.
+    A task says host and shape (as JSON) of an h once, and again if it has met very many others since.
     """
+    source = df.where(suspect(F.col(text))).select(*keys, F.col(text).alias("_text"))
+    schema = T.StructType([*(source.schema[k] for k in keys), *(T.StructField(n, t) for n, t in (("h", T.LongType()), ("host", T.StringType()), ("shape", T.StringType())))])
 
-    def shapes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Cleaner()
-        known: dict[tuple, str] = {}
-        counts: Counter = Counter()
+        said: dict[tuple, int] = {}
+        for batch in batches:
+            rows, hs, hosts, shapes = [], [], [], []
+            for i, t in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                reader.blocks(t)
+                found = set()
+                for host, shape in ((a, wrappers.slotted(wrappers.start(b))) for a, b in reader.records) if records_only else reader.streams():
+                    h = said.get((host, shape))
+                    if h in found:
+                        continue
+                    new = h is None
+                    if new:
+                        spelled = json.dumps(wrappers.written(shape))
+                        h = int.from_bytes(hashlib.blake2b(f"{host}\0{spelled}".encode(), digest_size=8).digest(), "big", signed=True)
+                        if len(said) >= HELD:
+                            said.clear()
+                        said[(host, shape)] = h
+                    found.add(h)
+                    rows.append(i)
+                    hs.append(h)
+                    hosts.append(host if new else None)
+                    shapes.append(spelled if new else None)
+            kept = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(hs, pa.int64()), pa.array(hosts, pa.string()), pa.array(shapes, pa.string())], [*keys, "h", "host", "shape"])
+
+    return source.mapInArrow(read, schema)
+
+
+def host_shapes(streams: DataFrame) -> DataFrame:
+    """h, host, shape, n (rows that have it)."""
+    return streams.groupBy("h").agg(F.max("host").alias("host"), F.max("shape").alias("shape"), F.count("*").alias("n"))
+
+
+def cover_hosts(shapes: DataFrame, aligned: int = ALIGNED) -> DataFrame:
+    """h, host, wrapper, n: wrappers that together match all shapes of ``shapes`` (h, host, shape, n), and the shapes each matches.
+
+    A host's shapes are aligned in groups of about ``aligned``, by hash, so that no host is work for one task alone.
+    """
 
-        def handed_on() -> pd.DataFrame:
-            return pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["host", "shape", "n"])
+    def covered(frame: pd.DataFrame) -> pd.DataFrame:
+        read = [wrappers.read(json.loads(x)) for x in frame["shape"]]
+        found = [(w, json.dumps(wrappers.written(w))) for w, _ in wrappers.cover(list(zip(read, frame["n"])))]
+        by = [next((text for w, text in found if wrappers.fits(w, x)), None) for x in read]
+        return pd.DataFrame({"h": frame["h"], "host": frame["host"], "wrapper": pd.Series(by, index=frame.index, dtype=object), "n": frame["n"]})
 
-        for frame in frames:
-            for t in frame["text"]:
-                reader.blocks(t)
-                for host, stream in reader.records:
-                    slotted = tuple(x if x[0] else wrappers.SLOT for x in stream)
-                    if slotted not in known:
-                        known[slotted] = json.dumps(wrappers.written(wrappers.collapse(slotted)))
-                    counts[(host, known[slotted])] += 1
-            if len(known) > HELD:
-                yield handed_on()
-                counts.clear()
-                known.clear()
-        if counts:
-            yield handed_on()
-
-    def aligned(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["n", "shape"], ascending=[False, True])
-        wrapper = wrappers.merge([wrappers.read(json.loads(x)) for x in frame["shape"]])
-        return pd.DataFrame({"host": frame["host"].iloc[:1], "wrapper": [json.dumps(wrappers.written(wrapper))]})
-
-    rows = df.where(suspect(F.col(text))).select(F.col(text).alias("text")).mapInPandas(shapes, "host string, shape string, n long")
-    each = rows.groupBy("host", "shape").agg(F.sum("n").alias("n"))
-    found = each.groupBy("host").applyInPandas(aligned, "host string, wrapper string").collect()
-    return {r["host"]: wrappers.read(json.loads(r["wrapper"])) for r in sorted(found)}
-
-
-def clean_texts(df: DataFrame, text: str, known: dict[str, tuple] | None = None) -> DataFrame:
+    sizes = shapes.groupBy("host").agg(F.ceil(F.count("*") / aligned).alias("groups"))
+    cut = shapes.join(sizes.hint("merge"), "host").withColumn("part", F.pmod("h", "groups")).drop("groups")
+    return cut.groupBy("host", "part").applyInPandas(covered, "h long, host string, wrapper string, n long").where("wrapper IS NOT NULL")
+
+
+def marked_rows(df: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """The distinct ``keys`` of the rows of which a stream is matched by a wrapper of its host, inferred from all rows.
+
+    The texts are read once, into hashes of their streams' shapes; wrappers are aligned from the distinct shapes, and the rows
+    of the shapes they match are found by a salted join. Null and empty texts have no streams.
+    """
+    streams = checkpointed(read_streams(df, keys, text))
+    matched = cover_hosts(host_shapes(streams)).select("h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = streams.select(*keys, "h", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int").alias("salt"))
+    return salted.hint("merge").join(matched, ["h", "salt"], "left_semi").select(*keys).distinct()
+
+
+def infer_wrappers(df: DataFrame, text: str) -> dict[str, list[tuple]]:
+    """The wrappers of the records of each host, from all rows; at most MOST_WRAPPERS in all, those of most support.
+
+    The wrappers of a host's groups of shapes are aligned with each other, as shapes are, until they are one group or as
+    many as before.
+    """
+    shapes = host_shapes(read_streams(df, [], text, records_only=True))
+    before = None
+    while True:
+        found = cover_hosts(shapes).groupBy("host", F.col("wrapper").alias("shape")).agg(F.sum("n").alias("n"))
+        shapes = checkpointed(found.withColumn("h", F.xxhash64("host", "shape")))
+        most = shapes.groupBy("host").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if most <= 1 or before is not None and most >= before:
+            break
+        before = most
+    out: dict[str, list[tuple]] = {}
+    for r in shapes.orderBy(F.desc("n"), "host", "shape").limit(MOST_WRAPPERS).collect():
+        out.setdefault(r["host"], []).append(wrappers.read(json.loads(r["shape"])))
+    return out
+
+
+def clean_texts(df: DataFrame, text: str, known: dict[str, list[tuple]] | None = None) -> DataFrame:
     """``df`` with clean_text, markup (the languages found, sorted) and blocks (kind, level, text).
 
     Null texts have null clean_text and no markup; empty texts and prose without markup stay as they are, with one block of
     kind text. Columns of ``df`` named like the new ones are replaced; repeated rows stay. Without ``known`` the wrappers
-    are inferred from all rows of ``df`` and broadcast, one for each host.
+    are inferred from all rows of ``df``; those broadcast are MOST_WRAPPERS at most.
     """
     new = ("clean_text", "markup", "blocks")
     kept = df.drop(*new)

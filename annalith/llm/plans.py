@@ -46,8 +46,8 @@ def _marked_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The rows whose text has markup of any language; a record counts whether or not a wrapper matches it, so none is inferred."""
-    return markup.clean_texts(_marked_rows(spark, folder), "text", {}).where("size(markup) > 0").select("src", "page_id", "row_ref").distinct()
+    """The rows of which a stream of markup of any language is matched by an inferred wrapper."""
+    return markup.marked_rows(_marked_rows(spark, folder), ["src", "page_id", "row_ref"], "text")
 
 
 def p3_clean(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,13 +1,15 @@
 """Union-free regular expressions from token streams of the same host.
 
 A wrapper is a sequence of fixed tokens, text slots, optional groups and repeated groups, without alternatives. It starts as
-one stream and is aligned with the others one by one. A mismatch of two texts becomes a slot; a mismatch that involves
+one stream and is aligned with the others one by one, the most frequent shape first; a stream that can't be aligned with it
+starts a wrapper of its own, so a host has as many wrappers as it has templates. A mismatch of two texts becomes a slot; a mismatch that involves
 markup is resolved as a repeated group, if what precedes it ends in the same token as a group that follows, or else as an
 optional group, if the token one side lacks comes up later on the other.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 Token = tuple[bool, str]  # is it markup, and what it says
@@ -39,9 +41,11 @@ def collapse(items: tuple) -> tuple:
     at = 0
     out = list(items)
     while at < len(out):
-        for size in range(1, (len(out) - at) // 2 + 1):
+        for size in range(2, (len(out) - at) // 2 + 1):
+            if is_markup(out[at]) and out[at] != out[at + size]:
+                continue
             first = out[at : at + size]
-            if size < 2 or not any(is_markup(x) for x in first) or isinstance(first[0], Group):
+            if not any(is_markup(x) for x in first) or isinstance(first[0], Group):
                 continue
             n, merged = 1, tuple(first)
             while (again := alike(merged, tuple(out[at + n * size : at + (n + 1) * size]))) is not None:
@@ -131,16 +135,69 @@ def matches(a, b) -> bool:
 
 
 def infer(streams: list[list[Token]]) -> tuple | None:
-    """The wrapper of all streams that fit together, the first one being kept; None without streams."""
-    return merge([start(s) for s in streams])
+    """The wrapper of most support of all streams; None without streams."""
+    found = infer_all(streams)
+    return found[0] if found else None
+
+
+def infer_all(streams: list[list[Token]]) -> list[tuple]:
+    """Wrappers that together match all streams, whatever their order."""
+    counts = Counter(slotted(start(s)) for s in streams)
+    return [w for w, _ in cover(list(counts.items()))]
+
+
+def slotted(items: tuple) -> tuple:
+    return tuple(Group(slotted(x.items), x.least, x.many) if isinstance(x, Group) else x if is_markup(x) else SLOT for x in items)
+
+
+def cover(shapes: list[tuple[tuple, int]]) -> list[tuple[tuple, int]]:
+    """(wrapper, support) pairs, so that each of the (shape, count) pairs is matched by a wrapper; most support first.
+
+    A shape is a collapsed stream or a wrapper. It joins the first wrapper that matches it or can be aligned with it so that
+    the wrapper still matches what it was made of; those a wrapper has lost by later alignments are covered anew.
+    """
+    left = sorted(shapes, key=lambda x: (-x[1], str(written(x[0]))))
+    out: list[tuple[tuple, int]] = []
+    while left:
+        found: list[tuple[tuple, list[tuple]]] = []
+        for shape, _ in left:
+            if any(fits(w, shape) for w, _ in found):
+                continue
+            for k, (w, made_of) in enumerate(found):
+                merged = align(w, shape)
+                if merged is not None and all(fits(merged, x) for x in (*made_of, shape)):
+                    found[k] = (merged, [*made_of, shape])
+                    break
+            else:
+                found.append((shape, [shape]))
+        support = [0] * len(found)
+        lost = []
+        for shape, n in left:
+            at = next((k for k, (w, _) in enumerate(found) if fits(w, shape)), None)
+            if at is None:
+                lost.append((shape, n))
+            else:
+                support[at] += n
+        out += [(w, n) for (w, _), n in zip(found, support)]
+        if len(lost) == len(left):  # shapes that can't be read as they stand are their own wrappers
+            return out + lost
+        left = lost
+    return sorted(out, key=lambda x: (-x[1], str(written(x[0]))))
 
 
-def merge(shapes: list[tuple]) -> tuple | None:
-    """The wrapper of all collapsed streams, or wrappers, that fit together, the first one being kept."""
-    wrapper = None
-    for shape in shapes:
-        wrapper = shape if wrapper is None else align(wrapper, shape) or wrapper
-    return wrapper
+def fits(wrapper: tuple, shape: tuple) -> bool:
+    """Whether the wrapper matches the shape's streams, its groups being there once, twice or, if they may, not at all."""
+    return wrapper == shape or all(extract(wrapper, unrolled(shape, n)) is not None for n in (0, 1, 2))
+
+
+def unrolled(shape: tuple, times: int) -> list[Token]:
+    out: list[Token] = []
+    for x in shape:
+        if isinstance(x, Group):
+            out += unrolled(x.items, times) * (max(times, x.least) if x.many else min(1, max(times, x.least)))
+        else:
+            out.append(x if is_markup(x) else (False, "x"))
+    return out
 
 
 # Markup after which a new line of a record begins.

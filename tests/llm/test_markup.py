@@ -63,7 +63,7 @@ def test_wrappers():
 
 
 def test_record_by_wrapper():
-    known = {"mediawiki {{Box": wrappers.infer([markup.tokens_of("{{Box|name=A|h=1}}"), markup.tokens_of("{{Box|name=B|h=2}}")])}
+    known = {"mediawiki {{Box": wrappers.infer_all([markup.tokens_of("{{Box|name=A|h=1}}"), markup.tokens_of("{{Box|name=B|h=2}}")])}
     assert markup.Cleaner(known).clean("{{Box|name=C|h=3}}")[0] == "name: C\nh: 3"
 
 
@@ -91,6 +91,38 @@ def test_wrappers_come_from_all_blocks(spark, monkeypatch):
     reader = markup.Cleaner()
     for _, text in rows:
         reader.blocks(text)
-        assert all(wrappers.extract(known[host], stream) for host, stream in reader.records) and reader.records
+        assert all(any(wrappers.extract(w, stream) for w in known[host]) for host, stream in reader.records) and reader.records
     found = {r["id"]: r["clean_text"] for r in markup.clean_texts(df, "text").collect()}
     assert "mayor: Olson 2" in found["z2"] and "name: town 7" in found["a7"]
+
+
+def test_long_and_deep_signs():
+    for text in ("$x_{a} " + "+ b_1 " * 400 + "c$ end", "text\n\n" + " " * 14 + "* deep\n", "&#0000000065; x"):
+        c = markup.Cleaner()
+        assert c.clean(text)[0] != text and c.found, text[:30]
+
+
+def test_order_of_streams_does_not_matter():
+    odd = markup.tokens_of("<ul><p>x</p><b>y</b></ul>")
+    good = [markup.tokens_of("<ul>" + "".join(f"<li>{x}</li>" for x in "abc"[: 1 + i % 3]) + "</ul>") for i in range(50)]
+    first, last = wrappers.infer_all([odd, *good]), wrappers.infer_all([*good, odd])
+    assert first == last
+    assert all(any(wrappers.extract(w, s) is not None for w in first) for s in (odd, *good))
+    rows = [markup.tokens_of(f"<table><tr class={c}><td>1</td></tr></table>") for c in "ab"]
+    assert len(wrappers.infer_all(rows)) == 1
+
+
+def test_rows_come_from_wrappers(spark, monkeypatch):
+    rows = [(i, t) for i, t in enumerate(MARKED + PLAIN + [None, ""])]
+    df = spark.createDataFrame(rows, "i int, text string").selectExpr("*", "1 AS h", "2 AS host", "3 AS salt")
+    found = sorted(r["i"] for r in markup.marked_rows(df.unionByName(df), ["i"], "text").collect())
+    assert found == list(range(len(MARKED)))
+    assert markup.marked_rows(df.limit(0), ["i"], "text").collect() == []
+    monkeypatch.setattr(markup, "cover_hosts", lambda shapes: shapes.limit(0))
+    assert markup.marked_rows(df, ["i"], "text").collect() == []
+
+
+def test_shapes_of_a_host_in_groups(spark):
+    texts = [f"{{{{Box {'|' + '|'.join(f'k{i}{j}= v' for j in range(i % 7)) if i % 7 else ''}}}}}" for i in range(120)]
+    shapes = markup.host_shapes(markup.read_streams(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), ["i"], "text"))
+    assert {r["h"] for r in markup.cover_hosts(shapes, aligned=5).collect()} == {r["h"] for r in shapes.collect()}
