@@ -92,15 +92,43 @@ def top_items(df: DataFrame, keys: Sequence[str], scores: Sequence[str], ident:
         if state:
             yield flush()
 
-    partial = source.mapInArrow(build, schema)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, records, heaps, done, types = None, 0, [], [], []
+
+        def finished() -> pa.RecordBatch:
+            columns = [pa.array([d[0][i] for d in done], t) for i, t in enumerate(types)]
+            columns.append(pa.array([d[1] for d in done], pa.int64()))
+            columns += [pa.array([d[2][i] for d in done], item_type) for i in range(len(scores))]
+            done.clear()
+            return pa.RecordBatch.from_arrays(columns, [*keys, "records", *tops])
 
-    def merged(s: str):
-        ordered = F.transform(F.flatten(F.collect_list(s)), lambda x: F.struct((-x["score"]).alias("neg"), x["item"].alias("item")))
-        return F.transform(
-            F.slice(F.array_sort(ordered), 1, n), lambda x: F.struct((-x["neg"]).alias("score"), x["item"].alias("item"))
-        ).alias(f"top_{s}")
+        def close() -> None:
+            best = [[{"score": s, "item": x.s} for s, x in sorted(h, reverse=True)] for h in heaps]
+            done.append((key, records, best))
 
-    return partial.groupBy(*keys).agg(F.sum("records").alias("records"), *(merged(s) for s in scores))
+        for b in batches:
+            types = [b.schema.field(k).type for k in keys]
+            for row in zip(*(b.column(c).to_pylist() for c in (*keys, "records", *scores))):
+                if row[: len(keys)] != key:
+                    if heaps:
+                        close()
+                    key, records, heaps = row[: len(keys)], 0, [[] for _ in scores]
+                records += row[len(keys)]
+                for heap, items in zip(heaps, row[len(keys) + 1 :]):
+                    for x in items:
+                        offer(heap, n, x["score"], x["item"])
+            if len(done) > 10_000:
+                yield finished()
+        if heaps:
+            close()
+        if done:
+            yield finished()
+
+    tops = [f"top_{s}" for s in scores]
+    merged_schema = T.StructType([*schema.fields[: len(keys) + 1], *(T.StructField(t, item) for t in tops)])
+    # a group's heaps come one after the other, so what is held is one heap for each score, however many heaps there are
+    partial = source.mapInArrow(build, schema)
+    return partial.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(merge, merged_schema)
 
 
 def placed(tops: DataFrame, keys: Sequence[str], scores: Sequence[str]) -> DataFrame:
