@@ -37,8 +37,8 @@ def term_scores(texts: DataFrame, group: str, record: str, text: str, min_length
     no rest: all its z are about 0.
 
     Each text is read once and gives its terms' counts, of which the collection's part is added up before the shuffle.
-    Nothing is broadcast: a group's totals, one number pair for each group, come in as a scalar subquery, and terms are
-    joined by (group, term), where the collection's side has one row for each key.
+    A group's totals, one row for each group, are joined to the collection's terms, by broadcast only while the measured size of
+    the totals allows it; terms are joined by (group, term), where the collection's side has one row for each key.
     """
     source = texts.where(F.col(group).isNotNull() & F.col(record).isNotNull() & F.col(text).isNotNull()).select(
         F.col(group).alias("g"), F.col(record).alias("r"), F.col(text).alias("text")
@@ -101,18 +101,16 @@ def term_scores(texts: DataFrame, group: str, record: str, text: str, min_length
         counted = checkpointed(counted)
     collection = counted.where(F.col("kind") == COLLECTION).groupBy("g", "term").agg(F.sum("a").alias("c"), F.sum("b").alias("k"))
     totals = counted.where(F.col("kind") == GROUP).groupBy("g").agg(F.sum("a").alias("total"), F.sum("b").cast("double").alias("size"))
-    by_group = totals.agg(F.map_from_entries(F.collect_list(F.struct("g", F.struct("total", "size")))).alias("m"))
     scored = (
         counted.where(F.col("kind") == SCORED)
         .select("g", "r", "term", F.col("a").alias("f"), F.col("b").alias("n"), F.col("c").alias("d"))
-        .join(collection, ["g", "term"])
-        .withColumn("of", F.element_at(by_group.scalar(), F.col("g")))
+        .join(collection.join(totals, "g"), ["g", "term"])
     )
-    a = F.lit(prior) * F.col("c") / F.col("of.size")
+    a = F.lit(prior) * F.col("c") / F.col("size")
     tiny = F.lit(1e-9)
     here = F.log((F.col("f") + a) / F.greatest(F.col("n") + prior - F.col("f") - a, tiny))
-    rest = F.log((F.col("c") - F.col("f") + a) / F.greatest(F.col("of.size") - F.col("n") + prior - F.col("c") + F.col("f") - a, tiny))
+    rest = F.log((F.col("c") - F.col("f") + a) / F.greatest(F.col("size") - F.col("n") + prior - F.col("c") + F.col("f") - a, tiny))
     z = (here - rest) / F.sqrt(1 / (F.col("f") + a) + 1 / (F.col("c") - F.col("f") + a))
     return scored.select(
-        F.col("g").alias(group), F.col("r").alias(record), "term", "f", "n", "d", "c", "k", F.col("of.total").alias("total"), z.alias("z")
+        F.col("g").alias(group), F.col("r").alias(record), "term", "f", "n", "d", "c", "k", "total", z.alias("z")
     )
