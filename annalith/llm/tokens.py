@@ -124,10 +124,13 @@ def fold_merges(ranks: Column, piece: Column) -> Column:
 def one_text(df: DataFrame, ident: str, text: str) -> DataFrame:
     """id, text: one row for each identifier; of several texts the greatest counts, and none is the empty one.
 
-    The filter holds for every row. It keeps the optimizer from merging what follows into the aggregate, where constants
-    would be carried by each row.
+    Identifiers are counted first, without texts; only if one comes twice do the texts travel. The filter holds for every row.
+    It keeps the optimizer from merging what follows into the aggregate, where constants would be carried by each row.
     """
-    return df.groupBy(F.col(ident).alias("id")).agg(F.coalesce(F.max(text), F.lit("")).alias("text")).where(F.octet_length("text") >= 0)
+    rows = df.select(F.col(ident).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    if rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return rows
+    return rows.groupBy("id").agg(F.max("text").alias("text")).where(F.octet_length("text") >= 0)
 
 
 def pieces_of(text: Column) -> Column:
