@@ -71,6 +71,12 @@ def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return together.discoveries(checkpointed(pairs)).drop("items")
 
 
+def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """All pairs of words that stand close in any article, with the number of articles of each word and of the pair."""
+    pairs = together.close_pairs(table(spark, folder, "year_history"), "page_id", "text", min_count=1, min_share=None)
+    return pairs.select("item_a", "item_b", "n_a", "n_b", "n_ab")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Where each sentence of the requested revisions ends.
 
@@ -117,8 +123,13 @@ def p10_forms(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "class_id", (F.col("text") == F.col("canonical")).alias("is_canonical"))
 
 
+def p10_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """The classes of several spellings, with the numbers of their spellings and documents."""
+    return lookalike.class_sizes(table(spark, folder, "documents").select("doc_id", "text"), "text").select("class_id", "spellings", "documents")
+
+
 QUERIES = {
-    f.__name__: f for f in (p2_found, p2_scores, p2_terms, p3_found, p3_clean, p4_found, p4_pairs, p5_found, p6_found, p8_ids, p9_packs, p10_found, p10_forms)
+    f.__name__: f for f in (p2_found, p2_scores, p2_terms, p3_found, p3_clean, p4_found, p4_counts, p4_pairs, p5_found, p6_found, p8_ids, p9_packs, p10_found, p10_forms, p10_classes)
 }
 
 _TERMS = """
@@ -130,6 +141,15 @@ g AS (SELECT year, count(*) AS total, sum(n) AS size FROM r GROUP BY year),
 c AS (SELECT year, word, sum(f) AS c, count(*) AS k FROM f GROUP BY ALL)
 """
 
+_PAIRS = """WITH t AS (SELECT DISTINCT page_id, text FROM year_history WHERE page_id IS NOT NULL AND text <> ''),
+i AS (SELECT page_id, regexp_extract_all(lower(text), '[a-z0-9]{5,}') AS a FROM t),
+e AS (SELECT page_id, a, unnest(range(1, len(a) + 1)) AS pos FROM i),
+b AS (SELECT DISTINCT page_id, a[pos] AS x FROM e),
+n AS (SELECT x, count(*) AS n FROM b GROUP BY x),
+p AS (SELECT DISTINCT page_id, least(a[pos], a[pos + gap]) AS x, greatest(a[pos], a[pos + gap]) AS y FROM e, (VALUES (1), (2), (3)) g(gap)
+      WHERE pos + gap <= len(a) AND a[pos] <> a[pos + gap]),
+c AS (SELECT x, y, count(*) AS n FROM p GROUP BY ALL), total AS (SELECT count(DISTINCT page_id) AS n FROM t)"""
+
 SQL = {
     "p2_found": f"""WITH {_TERMS}
 SELECT f.page_id, f.year, f.word FROM f JOIN r USING (page_id, year) JOIN g USING (year) JOIN c USING (year, word)
@@ -140,17 +160,11 @@ s AS (SELECT f.page_id, f.year, f.word, f::DOUBLE AS f, n::DOUBLE AS n, c::DOUBL
 z AS (SELECT page_id, year, word, round((ln((f + a) / greatest(n + 500.0 - f - a, 1e-9)) - ln((c - f + a) / greatest(size - n + 500.0 - c + f - a, 1e-9)))
       / sqrt(1 / (f + a) + 1 / (c - f + a)), 4) AS z FROM s)
 SELECT page_id, year, cast(row_number() OVER (PARTITION BY page_id, year ORDER BY z DESC, word) AS INT) AS place_no, word, z FROM z QUALIFY place_no <= 10""",
-    "p4_found": """
-WITH t AS (SELECT DISTINCT page_id, text FROM year_history WHERE page_id IS NOT NULL AND text <> ''),
-i AS (SELECT page_id, regexp_extract_all(lower(text), '[a-z0-9]{5,}') AS a FROM t),
-e AS (SELECT page_id, a, unnest(range(1, len(a) + 1)) AS pos FROM i),
-b AS (SELECT DISTINCT page_id, a[pos] AS x FROM e),
-n AS (SELECT x, count(*) AS n FROM b GROUP BY x),
-p AS (SELECT DISTINCT page_id, least(a[pos], a[pos + gap]) AS x, greatest(a[pos], a[pos + gap]) AS y FROM e, (VALUES (1), (2), (3)) g(gap)
-      WHERE pos + gap <= len(a) AND a[pos] <> a[pos + gap]),
-c AS (SELECT x, y, count(*) AS n FROM p GROUP BY ALL), total AS (SELECT count(DISTINCT page_id) AS n FROM t)
+    "p4_found": f"""{_PAIRS}
 SELECT c.x AS item_a, c.y AS item_b FROM c JOIN n a ON a.x = c.x JOIN n b ON b.x = c.y, total
 WHERE c.n >= 3 AND c.n >= 0.004 * total.n AND c.n * total.n >= 8 * a.n * b.n""",
+    "p4_counts": f"""{_PAIRS}
+SELECT c.x AS item_a, c.y AS item_b, a.n AS n_a, b.n AS n_b, c.n AS n_ab FROM c JOIN n a ON a.x = c.x JOIN n b ON b.x = c.y""",
     "p6_found": """
 WITH r0 AS (SELECT year, regexp_replace(lower(word), '[^a-z0-9]', '', 'g') AS word, article, coalesce(added, 0) AS added, coalesce(removed, 0) AS removed, emitted_at
             FROM diff_emits WHERE article IS NOT NULL),

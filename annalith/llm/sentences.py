@@ -1,21 +1,23 @@
 """Sentence boundaries in texts of any language and script.
 
-Candidates are sentence marks, closed quotations and brackets, ends of paragraphs, and in Thai every white space. Where the
-context settles a candidate it is settled: a paragraph's end is a boundary; a mark inside a word, number, quotation or
-bracket, or before a comma, dash or small letter is none. The rest is decided by a maximum-entropy classifier over the
-neighbouring tokens, their case, length, digits and script. It is trained on reliable boundaries only: positive are
-paragraph ends, and marks before a word that starts paragraphs and is otherwise written small; negative are marks before
-small letters, and marks between a token that always carries one but never ends a paragraph and a token that starts none.
+Candidates are sentence marks, closed quotations and brackets, ends of paragraphs, and in Thai and Lao every white space. Each
+is decided by a maximum-entropy classifier over the neighbouring tokens, their case, length, digits and script. It is trained
+on reliable boundaries: those that the layout or the context settles (a paragraph's end is one; a mark inside a word, number,
+quotation or bracket, or before a comma, dash or small letter is none), marks before a word that starts paragraphs and is
+otherwise written small, and marks between a token that always carries one but never ends a paragraph and a token that starts
+none. What settles a candidate is one of its features; for the others the tokens count.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,37 +25,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalith.llm.sampling import smallest_hashes
 from annalith.session import checkpointed
 
-#: The classifier's labelled rows come from at most this many texts of each script, those of smallest hash; the lexicon has all texts.
-SAMPLE_TEXTS = 6000
+#: The classifier's labelled rows are at most this many distinct contexts, those of smallest hash; the lexicon has all texts.
+LABELLED = 40_000
 #: Contexts a task gathers before it hands them on.
 HELD = 500_000
 WEIGHTS = 1 << 15
 #: Characters on either side that make a context; repeated contexts count once.
 CONTEXT = 14
+#: How far from a mark its tokens begin; a token is always taken whole.
+NEAR = 40
 
-# What ends sentences, opens and closes passages, and the languages' commonest words.
-HARD = "!?！？؟。．｡।॥።፧։။៕‼⁇⁈⁉"
+# Marks that end sentences by the Unicode property Sentence_Terminal, and the shad of Tibetan; full stops, which
+# may also stand elsewhere, are soft. What opens and closes passages.
+HARD = "!?։؝؞؟۔܀܁܂߹।॥၊။።፧፨᙮។៕᠃᠉‼‽⁇⁈⁉⸮。꓿꘎꘏꛳꛷꡶꡷꣎꣏꤯꧈꧉꩝꩞꩟꫰꫱꯫﹒﹖﹗！．？｡།༎༏༐༑"
 SOFT = ".…"
 CLOSE_OF = {"(": ")", "[": "]", "（": "）", "「": "」", "『": "』", "《": "》", "〈": "〉", "【": "】", "“": "”", "„": "“", "‘": "’", "«": "»", "»": "«", '"': '"', "‚": "‘", "‹": "›"}
 QUOTES = set("“”„«»\"「」『』‘‹›")
 TAIL = "\"'’”“»«)]）」』》〉】›"
-COMMON = {
-    "en": "the of and was is in its a to",
-    "de": "der die das und ist wurde im am nicht",
-    "fr": "le la les une est fut et dans du",
-    "es": "el la los una que es en se y",
-}
-SCRIPTS = (
-    ("thai", "฀-๿"), ("hangul", "가-힯ᄀ-ᇿ"), ("kana", "぀-ヿ"), ("han", "一-鿿㐀-䶿"),
-    ("arabic", "؀-ۿݐ-ݿ"), ("hebrew", "֐-׿"), ("devanagari", "ऀ-ॿ"), ("cyrillic", "Ѐ-ԯ"),
-    ("greek", "Ͱ-Ͽἀ-῿"), ("latin", "A-Za-zÀ-ɏ"),
-)
-CASED = {"latin", "greek", "cyrillic"}
+#: First words of the Unicode names of letters that belong to a script of another name.
+SCRIPT_NAMES = {"hiragana": "kana", "katakana": "kana", "halfwidth": "kana", "cjk": "han", "ideographic": "han", "fullwidth": "latin"}
+#: Scripts in which white space parts sentences.
+SPACED = {"thai", "lao"}
 
 
+@lru_cache(maxsize=None)
+def script_of_letter(ch: str) -> str:
+    """The script of a letter, by its Unicode name; empty for what is no letter."""
+    if unicodedata.category(ch) not in ("Lu", "Ll", "Lt", "Lo"):
+        return ""
+    first = re.split("[ -]", unicodedata.name(ch, "").lower())[0]
+    return SCRIPT_NAMES.get(first, first)
+
+
+#: Scripts whose sentences begin with a capital: those with capitals, but for Georgian, which has them for headlines only.
+CASED = {script_of_letter(chr(i)) for i in range(0x10000) if unicodedata.category(chr(i)) == "Lu"} - {"georgian", ""}
+
 
 def _combining() -> str:
     """The combining marks of the basic plane as ranges for a character class; they belong to words."""
@@ -74,26 +82,17 @@ WORD = re.compile(rf"{_L}+(?:[.'’\-]{_L}+)*")
 LAST_WORD = re.compile(rf"(?:(?<![^\W_])[^\W\d_]\.\s?)+[^\W\d_]$|{_L}+(?:[.'’\-]{_L}+)*$")
 EVENT = re.compile("[" + re.escape(HARD + SOFT + ";" + "".join(set(CLOSE_OF) | set(CLOSE_OF.values()))) + "]")
 PARAGRAPH = re.compile(r"\n[^\S\n]*(?:\r?\n[^\S\n]*)+")
-_script_re = [(name, re.compile(f"[{chars}]")) for name, chars in SCRIPTS]
 
 
 def script_of(text: str) -> str:
-    """The script with the most letters; Japanese counts as kana if there is any."""
-    n = {name: len(r.findall(text)) for name, r in _script_re}
+    """The script with the most letters; Japanese counts as kana if there is any. Latin without letters."""
+    n: Counter = Counter()
+    for ch, k in Counter(text).items():
+        n[script_of_letter(ch)] += k
+    del n[""]
     if n["kana"]:
         n["kana"] += n["han"]
-    best = max(n, key=lambda k: n[k])
-    return best if n[best] else "latin"
-
-
-def language_of(text: str, script: str) -> str:
-    """For Latin script the language by its commonest words, else the script."""
-    if script != "latin":
-        return script
-    words = Counter(text.lower().split())
-    score = {k: sum(words[w] for w in v.split()) for k, v in COMMON.items()}
-    best = max(score, key=lambda k: score[k])
-    return best if score[best] else "latin"
+    return min(n, key=lambda k: (-n[k], k)) if n.total() else "latin"
 
 
 def kind(ch: str) -> str:
@@ -134,13 +133,25 @@ def _next(text: str, at: int, stop: int) -> tuple[str, str, str]:
     i = at
     while i < stop and text[i].isspace():
         i += 1
-    m = WORD.search(text, i, min(stop, i + 40)) if i < stop else None
-    return text[at:i], kind(text[i : i + 1] if i < stop else ""), m.group() if m else ""
+    m = WORD.search(text, i, stop) if i < stop else None
+    return text[at:i], kind(text[i : i + 1] if i < stop else ""), m.group() if m and m.start() < i + NEAR else ""
+
+
+def _before(text: str, begun: int, at: int) -> tuple[str, str]:
+    """The last token before ``at`` and the one before that, not from before ``begun``."""
+    start = max(begun, at - 2 * NEAR)
+    while start > begun and not text[start - 1].isspace():
+        start -= 1
+    head = text[start:at].rstrip(TAIL + " ")
+    last = LAST_WORD.search(head)
+    rest = head[: last.start()].rstrip() if last else head
+    before = LAST_WORD.search(rest.rstrip("."))
+    return last.group() if last else "", before.group() if before else ""
 
 
 def candidates(text: str, start: int, stop: int, script: str) -> Iterator[Candidate]:
     """The candidates of the paragraph text[start:stop], in order; its end comes last. ``sure`` may be None."""
-    if script == "thai":
+    if script in SPACED:
         for m in re.finditer(r"\s+", text[start:stop]):
             yield Candidate(start + m.start(), True)
         yield Candidate(stop, True)
@@ -179,7 +190,7 @@ def candidates(text: str, start: int, stop: int, script: str) -> Iterator[Candid
                     sure = False
                 if sure:
                     begun = end
-                yield Candidate(end, sure)
+                yield Candidate(end, sure, next_kind=what, mark=inner, gap="space" if gap else "none")
             continue
         if ch in CLOSE_OF and i not in plain and _opens(text, i, ch):
             stack.append((CLOSE_OF[ch], i, ch in QUOTES))
@@ -205,12 +216,7 @@ def candidates(text: str, start: int, stop: int, script: str) -> Iterator[Candid
             sure = True
         else:
             sure = None
-        head = text[max(begun, i - 60) : i].rstrip(TAIL + " ")
-        last = LAST_WORD.search(head)
-        prev = last.group() if last else ""
-        rest = head[: last.start()].rstrip() if last else head
-        last = LAST_WORD.search(rest.rstrip("."))
-        c = Candidate(end, sure, prev, last.group() if last else "", word, what, mark, "line" if "\n" in gap else "space" if len(gap) == 1 else "wide" if gap else "none")
+        c = Candidate(end, sure, *_before(text, begun, i), word, what, mark, "line" if "\n" in gap else "space" if len(gap) == 1 else "wide" if gap else "none")
         if sure:
             begun = end
         yield c
@@ -309,9 +315,17 @@ def shape_or(token: str) -> str:
     return "^" if token.isupper() and all(len(x) == 1 for x in token.split(".")) else token
 
 
-def features(c: Candidate, language: str, lexicon: Lexicon) -> list[int]:
+def features(c: Candidate, script: str, lexicon: Lexicon) -> list[int]:
     """The classifier's features as places of the weight vector."""
-    return places(c, language, lexicon.of_prev(language, c.prev), lexicon.always_marked(language, c.prev), lexicon.of_next(language, c.next))
+    if c.sure is not None:
+        return settled_places(script, c.sure, c.mark[:1], c.next_kind, c.gap)
+    return places(c, script, lexicon.of_prev(script, c.prev), lexicon.always_marked(script, c.prev), lexicon.of_next(script, c.next))
+
+
+def settled_places(script: str, sure: bool, mark: str, next_kind: str, gap: str) -> list[int]:
+    """The features of a candidate that its context settles; what settles it is among them."""
+    names = (f"settled {sure}", f"sm {sure} {mark}", f"sk {sure} {next_kind}", f"sg {sure} {gap} {mark}", f"ss {sure} {script}")
+    return [zlib.crc32(x.encode()) % WEIGHTS for x in names]
 
 
 def places(c: Candidate, language: str, prev: str, always: bool, nxt: str) -> list[int]:
@@ -320,7 +334,7 @@ def places(c: Candidate, language: str, prev: str, always: bool, nxt: str) -> li
     names = (
         "bias", f"p {prev}", f"pl {prev} {language}", f"w {language} {shape_or(p)}", f"always {always} {prev}",
         f"s {shape} {min(len(p), 6)}", f"sn {shape} {c.next_kind}", f"n {c.next_kind} {language}", f"x {nxt} {language}", f"pn {prev} {nxt}",
-        f"v {language} {c.next}", f"wv {shape_or(p)} {c.next_kind}", f"b {c.before.isdigit() or c.before[:1].isdigit()} {prev}",
+        f"v {language} {c.next}", f"wv {shape_or(p)} {c.next_kind}", f"b {before_class(c.before)} {prev}",
         f"m {c.mark[:2]} {language}", f"g {c.gap}", f"gn {c.mark[:2]} {c.next_kind}",
     )
     return [zlib.crc32(x.encode()) % WEIGHTS for x in names]
@@ -331,10 +345,8 @@ class Model:
     lexicon: Lexicon
     weights: np.ndarray
 
-    def decide(self, c: Candidate, language: str) -> bool:
-        if c.sure is not None:
-            return c.sure
-        return float(self.weights[features(c, language, self.lexicon)].sum()) > 0
+    def decide(self, c: Candidate, script: str) -> bool:
+        return float(self.weights[features(c, script, self.lexicon)].sum()) > 0
 
 
 def contexts(text: str, known: set | None = None) -> Iterator[tuple[int, str, str, str]]:
@@ -342,7 +354,7 @@ def contexts(text: str, known: set | None = None) -> Iterator[tuple[int, str, st
 
     Paragraphs that are in ``known`` are passed over, others are added to it.
     """
-    language = language_of(text, script_of(text))
+    language = script_of(text)
     for start, stop in paragraphs(text):
         if known is not None:
             key = (language, text[start : stop + CONTEXT], stop - start)
@@ -361,9 +373,10 @@ def contexts(text: str, known: set | None = None) -> Iterator[tuple[int, str, st
                 yield 3, language, w, ""
                 first = False
         for m in re.finditer(r"[.…]+(?=[^\w]|$)", text[start:stop]):
-            last = LAST_WORD.search(text, max(start, start + m.start() - 60), start + m.start())
+            at = start + m.start()
+            last = _before(text, start, at)[0] if text[at - 1 : at] not in TAIL + " " else ""
             if last:
-                yield 1 + (start + m.end() == stop), language, shape_or(last.group()), text[max(start, last.start() - CONTEXT) : start + m.end() + CONTEXT]
+                yield 1 + (start + m.end() == stop), language, shape_or(last), text[max(start, at - len(last) - CONTEXT) : start + m.end() + CONTEXT]
 
 
 def lexicon_of(rows: Iterable[tuple[str, str, int, int, int, int]], ends: dict[str, tuple[int, int]]) -> Lexicon:
@@ -422,75 +435,104 @@ def count_lexicon(df: DataFrame, text: str) -> DataFrame:
     return each.groupBy("language", "token").agg(n("kind = 0", "seen"), n("kind IN (1, 2)", "marked"), n("kind = 2", "final"), n("kind = 3", "initial"))
 
 
-def training_contexts(texts: list[str]) -> Iterator[tuple[Candidate, str, bool]]:
-    """(candidate, language, is it a paragraph's end) of distinct contexts that may be labelled."""
-    known: set[str] = set()
-    for text in texts:
-        script = script_of(text)
-        language = language_of(text, script)
-        spans = list(paragraphs(text))
-        for k, (start, stop) in enumerate(spans):
-            for c in candidates(text, start, stop, script):
-                context = text[max(start, c.end - CONTEXT) : c.end + CONTEXT]
-                if c.end == stop or c.mark == "" or context in known:
-                    continue
-                known.add(context)
-                if c.sure is None or c.sure is False and c.next_kind == "lower" and c.gap != "none":
-                    yield c, language, False
-            tail = re.search(r"([.…]+)[" + re.escape(TAIL) + r"]*$", text[start:stop])
-            context = text[max(start, stop - CONTEXT) : spans[k + 1][0] + CONTEXT] if k + 1 < len(spans) else ""
-            if tail and context and context not in known and script != "thai":
-                known.add(context)
-                head = text[start : start + tail.start()].rstrip(TAIL + " ")
-                last = LAST_WORD.search(head)
-                prev = last.group() if last else ""
-                before = LAST_WORD.search(head[: last.start()].rstrip().rstrip(".")) if last else None
-                _, what, word = _next(text, spans[k + 1][0], spans[k + 1][1])
-                yield Candidate(stop, None, prev, before.group() if before else "", word, what, tail.group(1), "space"), language, True
+#: What a row is for: a settled candidate, an open one, and those that are for training alone.
+SETTLED, OPEN, LAST, HIDDEN = range(4)
+
+
+def read_candidates(text: str) -> Iterator[tuple[int, Candidate, str, str]]:
+    """(what it is for, candidate, script, context) of a text's candidates and training examples.
+
+    LAST is the mark at a paragraph's end with what follows it, a reliable boundary; HIDDEN a mark before a small letter, which
+    is reliably none, without what follows it.
+    """
+    script = script_of(text)
+    spans = list(paragraphs(text))
+    for k, (start, stop) in enumerate(spans):
+        for c in candidates(text, start, stop, script):
+            context = text[max(start, c.end - CONTEXT) : c.end + CONTEXT]
+            yield (OPEN if c.sure is None else SETTLED), c, script, context
+            if c.sure is False and c.next_kind == "lower" and c.gap != "none" and c.prev:
+                yield HIDDEN, Candidate(c.end, None, c.prev, c.before, "", "hidden", c.mark, c.gap), script, context
+        tail = re.search(r"([.…]+)[" + re.escape(TAIL) + r"]*$", text[max(start, stop - NEAR) : stop])
+        if tail and k + 1 < len(spans) and script not in SPACED:
+            _, what, word = _next(text, *spans[k + 1])
+            prev = _before(text, start, max(start, stop - NEAR) + tail.start())
+            context = text[max(start, stop - CONTEXT) : spans[k + 1][0] + CONTEXT]
+            yield LAST, Candidate(stop, None, *prev, word, what, tail.group(1), "space"), script, context
+
+
+def label_of(use: int, prev: str, always: bool, nxt: str, base: float) -> int | None:
+    """Whether a training example is a boundary, as far as that is reliable; ``base`` is how often marks end paragraphs there."""
+    if use == LAST:
+        return 1
+    if use == HIDDEN or not base:
+        return 0  # where no paragraph ends in a full stop, other marks end sentences
+    if prev in ("never", "rarely") and always and nxt in ("named", "scarce", "new"):
+        return 0
+    return 1 if nxt == "starter" else None
 
 
 def train(texts: list[str], rounds: int = 150, decay: float = 1e-4) -> Model:
     """Fit on reliable boundaries of ``texts``, with the lexicon of the same texts."""
-    return fit_weights(list(training_contexts(texts)), read_lexicon(texts), rounds, decay)
-
-
-def fit_weights(found: list[tuple[Candidate, str, bool]], lexicon: Lexicon, rounds: int = 150, decay: float = 1e-4) -> Model:
-    """Logistic regression, full-batch, with adaptive steps and a quadratic penalty. The lexicon says which contexts are reliable."""
-    rows: list[list[int]] = []
-    labels: list[int] = []
-    for c, language, is_end in found:
-        if is_end:
-            label = 1
-        elif c.sure is False:
-            c.next, c.next_kind = "", "hidden"
-            label = 0
-        elif not lexicon.base.get(language, 1):
-            label = 0  # other marks end sentences there
-        elif (
-            lexicon.of_prev(language, c.prev) in ("never", "rarely")
-            and lexicon.always_marked(language, c.prev)
-            and lexicon.of_next(language, c.next) in ("named", "scarce", "new")
-        ):
-            label = 0
-        elif lexicon.of_next(language, c.next) == "starter":
-            label = 1
-        else:
+    lexicon = read_lexicon(texts)
+    settled: Counter = Counter()
+    examples: dict[tuple[int, str], tuple] = {}
+    for text in texts:
+        for use, c, script, context in read_candidates(text):
+            if use == SETTLED:
+                settled[(script, c.sure, c.mark[:1], c.next_kind, c.gap)] += 1
+            else:
+                row = (script, c.prev, before_class(c.before), c.next, c.next_kind, c.mark[:2], c.gap)
+                examples[(use, context)] = min(row, examples.get((use, context), row))
+    rows: list[tuple[list[int], int, int]] = []
+    for (use, _), (script, prev, before, nxt, what, mark, gap) in examples.items():
+        classes = lexicon.of_prev(script, prev), lexicon.always_marked(script, prev), lexicon.of_next(script, nxt)
+        label = label_of(use, *classes, lexicon.base.get(script, 1))
+        if label is not None:
+            rows.append((places(Candidate(0, None, prev, before, nxt, what, mark, gap), script, *classes), label, 1))
+    return Model(lexicon, fit_weights(rows + settled_rows(settled.items()), rounds, decay))
+
+
+def settled_rows(counts: Iterable[tuple[tuple, int]]) -> list[tuple[list[int], int, int]]:
+    return [(settled_places(script, sure, mark, what, gap), int(sure), n) for (script, sure, mark, what, gap), n in counts]
+
+
+def before_class(token: str) -> str:
+    """What counts of the token before the last: whether it begins with a digit."""
+    return "1" if token[:1].isdigit() else ""
+
+
+def fit_weights(rows: list[tuple[list[int], int, int]], rounds: int = 150, decay: float = 1e-4) -> np.ndarray:
+    """Logistic regression on (features, label, count), full-batch, with adaptive steps and a quadratic penalty.
+
+    Settled and open candidates share no feature, so each kind is balanced by itself. Without rows of a kind its candidates are
+    decided as their context says, and open ones are boundaries.
+    """
+    weights = np.zeros(WEIGHTS + 1)  # the last place fills rows of fewer features and stays 0
+    for sure in (True, False):
+        weights[zlib.crc32(f"settled {sure}".encode()) % WEIGHTS] = 1.0 if sure else -1.0
+    width = max((len(x) for x, _, _ in rows), default=0)
+    merged: Counter = Counter()
+    for x, label, n in rows:
+        merged[(tuple(x + [WEIGHTS] * (width - len(x))), label)] += n
+    groups = [[(x, y, n) for (x, y), n in merged.items() if (x[-1] == WEIGHTS) == settled] for settled in (True, False)]
+    if not groups[1]:
+        weights[zlib.crc32(b"bias") % WEIGHTS] = 1.0
+    for group in groups:
+        if not group:
             continue
-        rows.append(features(c, language, lexicon))
-        labels.append(label)
-    weights = np.zeros(WEIGHTS)
-    if rows:
-        x, y = np.array(rows), np.array(labels, float)
-        balance = np.where(y > 0, len(y) / max(2 * y.sum(), 1), len(y) / max(2 * (len(y) - y.sum()), 1))
-        grown = np.full(WEIGHTS, 1e-8)
+        x, y, n = (np.array(v) for v in zip(*group))
+        positive, total = (n * y).sum(), n.sum()
+        share = n * np.where(y > 0, total / max(2 * positive, 1), total / max(2 * (total - positive), 1)) / total
+        used = np.unique(x)
+        grown = np.full(WEIGHTS + 1, 1e-8)
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(weights[x].sum(1), -30, 30)))
-            g = np.bincount(x.ravel(), np.repeat(balance * (p - y), x.shape[1]), WEIGHTS) / len(y) + decay * weights
-            grown += g * g
-            weights -= 0.3 * g / np.sqrt(grown)
-    else:
-        weights[zlib.crc32(b"bias") % WEIGHTS] = 1.0
-    return Model(lexicon, weights)
+            g = np.bincount(x.ravel(), np.repeat(share * (p - y), x.shape[1]), WEIGHTS + 1)[used] + decay * weights[used]
+            grown[used] += g * g
+            weights[used] -= 0.3 * g / np.sqrt(grown[used])
+            weights[WEIGHTS] = 0
+    return weights
 
 
 def sentence_ends(text: str, model: Model) -> list[int]:
@@ -498,37 +540,20 @@ def sentence_ends(text: str, model: Model) -> list[int]:
     if not text or text.isspace():
         return []
     script = script_of(text)
-    language = language_of(text, script)
     ends: list[int] = []
     for start, stop in paragraphs(text):
         for c in candidates(text, start, stop, script):
-            if c.end > start and (not ends or c.end > ends[-1]) and model.decide(c, language):
+            if c.end > start and (not ends or c.end > ends[-1]) and model.decide(c, script):
                 ends.append(c.end)
     return ends
 
 
-def fit_model(df: DataFrame, text: str, counted: DataFrame, sample: int = SAMPLE_TEXTS) -> Model:
-    """A model with labelled rows from at most ``sample`` texts of each script, those of smallest hash, so it doesn't depend on row order.
-
-    Of the lexicon ``counted`` it has the tokens of these rows only, and the base rates of all.
-    """
-    script = F.lit("none")
-    for name, chars in reversed(SCRIPTS):
-        script = F.when(F.col(text).rlike(f"[{chars}]"), name).otherwise(script)
-    found = list(training_contexts(smallest_hashes(df, text, sample, script)))
-    ends = {r["language"]: (r["f"], r["m"]) for r in counted.groupBy("language").agg(F.sum("final").alias("f"), F.sum("marked").alias("m")).collect()}
-    asked = sorted({(language, t) for c, language, _ in found for t in (shape_or(c.prev), c.next, c.next.lower())})
-    tokens = df.sparkSession.createDataFrame(pd.DataFrame(asked, columns=["language", "token"], dtype=object), "language string, token string")
-    rows = counted.join(F.broadcast(tokens), ["language", "token"], "left_semi").select("language", "token", "seen", "marked", "final", "initial").collect()
-    return fit_weights(found, lexicon_of(rows, ends))
-
-
 def split_sentences(df: DataFrame, ident: str, text: str, model: Model | None = None) -> DataFrame:
     """``ident``, end_pos: one row for each sentence, with the number of characters up to and with its last one.
 
     Null and blank texts have no sentence. Repeated rows count once; if an identifier has several texts, its rows are those
     of all of them; a null identifier is one like others. Extra columns are ignored. Without ``model`` one is fitted:
-    its lexicon on all texts, its weights on a bounded sample.
+    its lexicon on all texts, its weights on LABELLED contexts.
     """
     rows = df.where(F.col(text).isNotNull()).select(F.col(ident).cast("string").alias("id"), F.col(text).alias("text"))
     kind_of = df.schema[ident].dataType.simpleString()
@@ -549,58 +574,110 @@ def split_sentences(df: DataFrame, ident: str, text: str, model: Model | None =
     return rows.mapInPandas(split, "id string, end_pos int").distinct().select(F.col("id").cast(kind_of).alias(ident), "end_pos")
 
 
-_OPEN = ["language", "prev", "before", "next", "next_kind", "mark", "gap"]
+_KEY = ["script", "prev", "before", "next", "next_kind", "mark", "gap"]
+_COUNTS = ["n_marked", "n_final", "n_seen", "n_next", "n_initial", "n_low"]
 
 
-def _split_with_own_lexicon(rows: DataFrame) -> DataFrame:
-    """id, end_pos. Undecided candidates are joined with the lexicon of all texts; only the weights are broadcast.
-
-    A later candidate of a text always ends later, so each is decided by itself.
-    """
-    counted = checkpointed(count_lexicon(rows, "text"))
-    model = fit_model(rows, "text", counted)
-    shared = rows.sparkSession.sparkContext.broadcast((model.weights, model.lexicon.base))
-    names = ["id", "end_pos", *_OPEN, "token", "low"]
+def candidate_rows(rows: DataFrame) -> DataFrame:
+    """id, end_pos, use, sure, script and tokens of all candidates of ``rows`` (id, text), and training examples, which a task
+    hands on once for each context; ``context`` is a hash. Settled candidates carry no tokens."""
+    names = ["id", "end_pos", "use", "sure", *_KEY, "token", "low", "context"]
+    types = [pa.string(), pa.int32(), pa.int32(), pa.bool_(), *[pa.string()] * (len(_KEY) + 2), pa.int64()]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set = set()
         for b in batches:
             out: list[tuple] = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if not text or text.isspace():
                     continue
-                script = script_of(text)
-                language = language_of(text, script)
-                for start, stop in paragraphs(text):
-                    for c in candidates(text, start, stop, script):
-                        if c.end <= start or c.sure is False:
+                last = 0
+                for use, c, script, context in read_candidates(text):
+                    if use == SETTLED:
+                        if c.end > last:
+                            out.append((i, c.end, use, c.sure, script, None, None, None, c.next_kind, c.mark[:1], c.gap, None, None, None))
+                        continue
+                    h = int.from_bytes(hashlib.blake2b(f"{use} {context}".encode(), digest_size=8).digest(), "big", signed=True)
+                    if use != OPEN:
+                        if h in known:
                             continue
-                        if c.sure:
-                            out.append((i, c.end, *[None] * (len(names) - 2)))
-                        else:
-                            before = "1" if c.before[:1].isdigit() else "A" if c.before[:1].isupper() else ""
-                            out.append((i, c.end, language, c.prev, before, c.next, c.next_kind, c.mark[:2], c.gap, shape_or(c.prev), c.next.lower()))
+                        known.add(h)
+                    out.append((i, c.end, use, None, script, c.prev, before_class(c.before), c.next, c.next_kind, c.mark[:2], c.gap, shape_or(c.prev), c.next.lower(), h))
+            if len(known) > HELD:
+                known.clear()
             columns = zip(*out) if out else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int32() if k == 1 else pa.string()) for k, c in enumerate(columns)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names)
+
+    kinds = {pa.string(): "string", pa.int32(): "int", pa.bool_(): "boolean", pa.int64(): "long"}
+    return rows.select("id", "text").mapInArrow(read, ", ".join(f"`{n}` {kinds[t]}" for n, t in zip(names, types)))
 
-    ends = checkpointed(rows.select("id", "text").mapInArrow(read, ", ".join(f"{x} {'int' if x == 'end_pos' else 'string'}" for x in names)))
-    undecided = ends.where("language IS NOT NULL")
-    of = lambda key, **columns: counted.select("language", F.col("token").alias(key), *(F.col(c).alias(n) for n, c in columns.items()))
+
+def with_counts(rows: DataFrame, counted: DataFrame) -> DataFrame:
+    """``rows`` of open candidates and examples with what the lexicon says of their tokens, joined."""
+    of = lambda key, **columns: counted.select(F.col("language").alias("script"), F.col("token").alias(key), *(F.col(c).alias(n) for n, c in columns.items()))
     for part in (of("token", n_marked="marked", n_final="final", n_seen="seen"), of("next", n_next="seen", n_initial="initial"), of("low", n_low="seen")):
-        undecided = undecided.join(part, ["language", part.columns[1]], "left")
-    counts = ["n_marked", "n_final", "n_seen", "n_next", "n_initial", "n_low"]
+        rows = rows.join(part, ["script", part.columns[1]], "left")
+    return rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in _COUNTS})
+
+
+def classes_of(nxt: str, marked: int, final: int, seen: int, n: int, initial: int, low: int, base: float) -> tuple[str, bool, str]:
+    return prev_class(marked, final, base), marked >= 0.9 * seen, next_class(nxt, low, n, initial)
+
+
+def fit_rows(settled: DataFrame, examples: DataFrame, base: dict[str, float], most: int) -> np.ndarray:
+    """The weights, from the counts of all settled candidates by their features, and of the distinct contexts of ``examples``
+    (see ``with_counts``) at most ``most``, those of smallest hash; so they don't depend on row order."""
+    kinds = settled.groupBy("script", "sure", "mark", "next_kind", "gap").agg(F.count("*").alias("n")).collect()
+    each = examples.groupBy("use", "context").agg(F.min(F.struct(*_KEY, *_COUNTS)).alias("x")).withColumn("h", F.pmod(F.xxhash64("context"), F.lit(1 << 30)))
+    n = examples.agg(F.approx_count_distinct("context")).first()[0]
+    some = each.where(F.col("h") < min(1 << 30, -(-3 * most * (1 << 30) // max(n, 1)))).orderBy("h", "context", "use").limit(most)
+    rows = []
+    for r in some.select("use", "x.*").collect():
+        script, prev, before, nxt, what, mark, gap, *counts = r[1:]
+        classes = classes_of(nxt, *counts, base.get(script, 0.1))
+        label = label_of(r["use"], *classes, base.get(script, 1))
+        if label is not None:
+            rows.append((places(Candidate(0, None, prev, before, nxt, what, mark, gap), script, *classes), label, 1))
+    return fit_weights(rows + settled_rows((tuple(r[:5]), r["n"]) for r in sorted(kinds)))
+
+
+def base_rates(counted: DataFrame) -> dict[str, float]:
+    """By script, how often a soft mark is at a paragraph's end."""
+    sums = counted.groupBy("language").agg(F.sum("final").alias("f"), F.sum("marked").alias("m")).collect()
+    return {r["language"]: r["f"] / r["m"] for r in sums if r["m"]}
+
+
+def _split_with_own_lexicon(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """id, end_pos. Candidates and examples are read once and joined with the lexicon of all texts; only the weights are broadcast.
+
+    A later candidate of a text always ends later, so each is decided by itself.
+    """
+    counted = checkpointed(count_lexicon(rows, "text"))
+    found = checkpointed(candidate_rows(rows))
+    settled, joined = found.where(F.col("use") == SETTLED), checkpointed(with_counts(found.where(F.col("use") != SETTLED), counted))
+    base = base_rates(counted)
+    weights = fit_rows(settled, joined, base, LABELLED if most is None else most)
+    shared = rows.sparkSession.sparkContext.broadcast((weights, base))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, base = shared.value
+        known: dict[tuple, bool] = {}
         for b in batches:
             keep = []
-            known: dict[tuple, bool] = {}
+            if len(known) > HELD:
+                known.clear()
             for key in zip(*(b.column(k).to_pylist() for k in range(2, b.num_columns))):
                 if key not in known:
-                    language, prev, before, nxt, what, mark, gap, marked, final, seen, n, initial, low = key
-                    at = places(Candidate(0, None, prev, before, nxt, what, mark, gap), language, prev_class(marked, final, base.get(language, 0.1)), marked >= 0.9 * seen, next_class(nxt, low, n, initial))
+                    sure, script, prev, before, nxt, what, mark, gap, *counts = key
+                    if sure is not None:
+                        at = settled_places(script, sure, mark, what, gap)
+                    else:
+                        at = places(Candidate(0, None, prev, before, nxt, what, mark, gap), script, *classes_of(nxt, *counts, base.get(script, 0.1)))
                     known[key] = float(weights[at].sum()) > 0
                 keep.append(known[key])
             yield b.filter(pa.array(keep, pa.bool_())).select(["id", "end_pos"])
 
-    decided = undecided.select("id", "end_pos", *_OPEN, *(F.coalesce(c, F.lit(0)).alias(c) for c in counts)).mapInArrow(decide, "id string, end_pos int")
-    return ends.where("language IS NULL").select("id", "end_pos").unionByName(decided)
+    columns = ["id", "end_pos", "sure", *_KEY]
+    none = [F.lit(None).cast("long").alias(c) for c in _COUNTS]
+    every = settled.select(*columns, *none).unionByName(joined.where(F.col("use") == OPEN).select(*columns, *_COUNTS))
+    return every.mapInArrow(decide, "id string, end_pos int")

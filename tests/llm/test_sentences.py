@@ -96,12 +96,36 @@ def test_lexicon_has_all_texts(spark, model, monkeypatch):
     assert {(x.language, x.token): (x.seen, x.marked, x.final, x.initial) for x in counted} == {
         k: (whole.seen[k], whole.marked[k], whole.final[k], whole.initial[k]) for k in {*whole.seen, *whole.marked, *whole.initial}
     }
-    few = sentences.fit_model(df, "content", spark.createDataFrame(counted), 10)
-    assert few.lexicon.base == whole.base and all(few.lexicon.seen[k] == whole.seen[k] for k in few.lexicon.seen) and few.lexicon.seen
-    monkeypatch.setattr(sentences.fit_model, "__defaults__", (10,))
-    joined = sentences.Model(whole, few.weights)
+    assert sentences.base_rates(spark.createDataFrame(counted)) == whole.base
+    alone = sentences.train(texts + texts[:9])
     found = sorted(tuple(x) for x in sentences.split_sentences(df, "rev_id", "content").collect())
-    assert found == sorted((str(i), e) for i, t in enumerate(texts + texts[:9]) for e in sentences.sentence_ends(t, joined))
+    assert found == sorted((str(i), e) for i, t in enumerate(texts + texts[:9]) for e in sentences.sentence_ends(t, alone))
+    monkeypatch.setattr(sentences, "LABELLED", 10)  # the lexicon stays that of all texts
+    few = {tuple(x) for x in sentences.split_sentences(df, "rev_id", "content").collect()}
+    assert len(few & set(found)) > 0.9 * len(found)
+
+
+def test_every_candidate_is_classified(model):
+    """Without weights nothing is a boundary, not even what its context settles."""
+    nothing = sentences.Model(model.lexicon, model.weights * 0)
+    assert sentences.sentence_ends("Who built it? He did.\n\nสะพาน", nothing) == []
+    assert sentences.sentence_ends("สะพาน อยู่ที่นี่", nothing) == []
+
+
+def test_marks_from_unicode_data(model):
+    for parts in (["བོད་ཡིག།", " དེ་རིང་།", " ལྷ་ས།"], ["សួស្តី។", " តើអ្នកសុខសប្បាយទេ។"], ["ສະບາຍດີ", " ຂອບໃຈ"], ["Բարեւ։", " Ինչպես ես։"], ["မင်္ဂလာပါ။", " နေကောင်းလား။"]):
+        text, ends = "", []
+        for p in parts:
+            text += p
+            ends.append(len(text))
+        assert sentences.sentence_ends(text, model) == ends, parts
+    assert sentences.script_of("བོད་ཡིག") == "tibetan" and sentences.script_of("ქართული") not in sentences.CASED and "armenian" in sentences.CASED
+
+
+def test_long_tokens_are_whole(model):
+    word = "Zusammen" * 20
+    c = next(c for c in sentences.candidates(f"Es war {word}. {word} war", 0, 2 * len(word) + 13, "latin") if c.mark)
+    assert c.prev == word and c.next == word
 
 
 def test_openers_without_closers(model):
