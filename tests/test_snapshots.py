@@ -51,11 +51,24 @@ def test_revisions_with_a_hot_page(spark):
 def test_only_differing_leaves_are_compared(spark):
     rows = [("k%d" % i, y, "v" if (i, y) != (5, 2) else "w") for i in range(500) for y in (1, 2)]
     df = spark.createDataFrame(rows, "key string, snap int, value string")
-    tree = snapshots.merkle_tree(df, "snap", "key", "value")
-    assert snapshots.differing_leaves(tree, "snap", 2, 2).count() == 1
+    levels = snapshots.levels_for(500)
+    sides = snapshots.both_sides(df, "snap").where("snap = 2")
+    assert snapshots.differing_leaves(snapshots.merkle_tree(sides, "snap", "key", "value", levels), "snap", levels).count() == 1
     assert [tuple(x) for x in snapshots.snapshot_changes(df, "snap", "key", "value", 2, 2).collect()] == [(2, "k5", "changed")]
 
 
+def test_leaves_are_skipped_at_a_million_keys(spark):
+    df = spark.range(1_000_000).selectExpr("cast(id AS string) AS key", "explode(array(1, 2)) AS snap", "id").selectExpr("key", "snap", "md5(concat(key, if(snap = 2 and id % 250000 = 7, 'x', ''))) AS value")
+    levels = snapshots.levels_for(1_000_000)
+    assert 1_000_000 >> levels[-1] <= snapshots.LEAF_KEYS
+    sides = snapshots.both_sides(df, "snap").where("snap = 2")
+    tree = snapshots.merkle_tree(sides, "snap", "key", "value", levels)
+    assert tree[levels[-1]].count() > 4000
+    assert snapshots.differing_leaves(tree, "snap", levels).count() == 4
+    found = [tuple(x) for x in snapshots.snapshot_changes(df, "snap", "key", "value", 2, 2).collect()]
+    assert sorted(found) == [(2, k, "changed") for k in ("250007", "500007", "7", "750007")]
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], "page_id string, title string, year int, text string")
     assert snapshots.year_changes(empty).collect() == []
