@@ -10,8 +10,8 @@ STOP_BASE = (
 
 # What search leaves out besides.
 STOP_SEARCH = STOP_BASE + (
-    "although among based called cite com first however http https including jpg known like made many much name named nbsp new often "
-    "one org part pdf png ref refer reference references refers see several since svg three time two upon used well within www year years"
+    "known used one two three first new time year years made since many however although often several much well within among upon "
+    "like including refer refers reference references see called name named based part nbsp ref cite http https www org com jpg png svg pdf"
 ).split()
 
 # Abbreviations that don't end a first sentence.

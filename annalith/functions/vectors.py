@@ -10,8 +10,11 @@ START, FACTOR = 2166136261, 16777619
 BITS = 4294967296
 
 
-def compat_hash(word: Column) -> Column:
-    """32-bit hash whose product is rounded to a double before the high bits are dropped; characters up to U+FFFF."""
+def compat_hash(word: Column, start: Column | None = None) -> Column:
+    """32-bit hash whose product is rounded to a double before the high bits are dropped; characters up to U+FFFF.
+
+    With ``start``, the hash of a text, it is that of the text with ``word`` after it.
+    """
     codes = F.transform(F.filter(F.split(word, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
 
     def step(h: Column, c: Column) -> Column:
@@ -19,7 +22,7 @@ def compat_hash(word: Column) -> Column:
         signed = F.when(x >= BITS // 2, x - BITS).otherwise(x)
         return F.pmod((signed.cast("double") * F.lit(float(FACTOR))).cast("long"), F.lit(BITS))
 
-    return F.aggregate(codes, F.lit(START).cast("long"), step)
+    return F.aggregate(codes, (F.lit(START) if start is None else start).cast("long"), step)
 
 
 def dot(a: Column, b: Column) -> Column:

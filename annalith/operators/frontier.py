@@ -31,43 +31,76 @@ def status_counts(frontier: DataFrame) -> DataFrame:
     return frontier.agg(F.count("*").alias("total"), *(F.count_if(F.col("status") == s).alias(s) for s in STATUSES))
 
 
-def retry(frontier: DataFrame, key: str, failed: bool, most: int = 2) -> DataFrame:
-    """The frontier after a page's attempt: stored, or pending again until ``most`` retries are used up, then failed."""
-    mine = F.col("key") == key
-    outcome = F.when(F.lit(not failed), "stored").when(F.col("retries") < most, "pending").otherwise("failed")
-    return frontier.withColumns(
-        {"status": F.when(mine, outcome).otherwise(F.col("status")), "retries": F.when(mine & F.lit(failed), F.col("retries") + 1).otherwise(F.col("retries"))}
+def claim(frontier: DataFrame, taken: DataFrame, now: str) -> DataFrame:
+    """The frontier with the pending pages among ``taken`` (key; see ``batch``, which bounds it) in flight since ``now``."""
+    mine = F.broadcast(taken.select("key", F.lit(True).alias("_taken")).distinct())
+    is_mine = F.coalesce("_taken", F.lit(False)) & (F.col("status") == "pending")
+    return (
+        frontier.join(mine, "key", "left")
+        .withColumns({"claimed_at": F.when(is_mine, F.to_timestamp(F.lit(now))).otherwise(F.col("claimed_at")), "status": F.when(is_mine, "inflight").otherwise(F.col("status"))})
+        .select(*frontier.columns)
     )
 
 
-def discovered(links: DataFrame, max_depth: int = C.CRAWL_DEPTH) -> DataFrame:
-    """key, title, depth, discovered_from: for each page found, its occurrence of least depth, ties by origin, then title.
+def settle(frontier: DataFrame, outcomes: DataFrame, now: str, most: int = 3) -> DataFrame:
+    """The frontier after attempts on pages in flight: ``outcomes`` has key and failed, one row for each page.
 
-    ``links`` has title, depth, discovered_from; deeper ones than ``max_depth`` are left out.
+    A page that didn't fail is stored, with ``claimed_at`` the time ``now``; a failed one has a retry more and is pending again
+    until it has ``most`` of them, then failed. Pages that aren't in flight stay as they are.
+    """
+    tried = outcomes.select("key", F.coalesce("failed", F.lit(False)).alias("_failed"))
+    mine = F.col("_failed").isNotNull() & (F.col("status") == "inflight")
+    failed = mine & F.col("_failed")
+    tries = F.coalesce("retries", F.lit(0)) + 1
+    new = {
+        "status": F.when(failed, F.when(tries < most, "pending").otherwise("failed")).when(mine, "stored").otherwise(F.col("status")),
+        "claimed_at": F.when(failed, None).when(mine, F.to_timestamp(F.lit(now))).otherwise(F.col("claimed_at")),
+        "retries": F.when(failed, tries).otherwise(F.col("retries")),
+    }
+    return frontier.join(tried, "key", "left").select(*(new.get(c, F.col(c)).alias(c) for c in frontier.columns))
+
+
+def discovered(links: DataFrame, max_depth: int = C.CRAWL_DEPTH, now: str | None = None) -> DataFrame:
+    """key, title, depth, discovered_from, enqueued_at: for each page found, its occurrence of least depth, ties by origin, then title.
+
+    ``links`` has title, depth, discovered_from; deeper ones than ``max_depth`` are left out. ``now`` is when they are enqueued.
     """
     return (
         links.withColumn("key", title_key(F.col("title")))
         .where((F.col("depth") <= max_depth) & (F.col("key") != ""))
         .groupBy("key")
         .agg(F.min(F.struct("depth", "discovered_from", "title")).alias("x"))
-        .select("key", "x.title", "x.depth", "x.discovered_from")
+        .select("key", "x.title", "x.depth", "x.discovered_from", F.to_timestamp(F.lit(now)).alias("enqueued_at"))
     )
 
 
 def merge(frontier: DataFrame, found: DataFrame) -> DataFrame:
-    """key, title, depth, status, discovered_from after ``found`` (see ``discovered``) has come in.
+    """The frontier, with all its columns, after ``found`` (see ``discovered``) has come in.
 
-    New pages are pending; a pending page found at less depth takes depth and origin of the find; others stay. One
-    aggregation over both, without a join.
+    New pages are pending, without retries and null in other columns; a pending page found at less depth takes depth, origin
+    and time of the find and keeps the rest; others stay. One aggregation over both, without a join.
     """
-    row = lambda df, new: df.select("key", F.struct("title", "depth", "discovered_from").alias("x"), *([F.lit(None).cast("string").alias("status")] if new else ["status"]), F.lit(new).alias("new"))
-    both = row(frontier, False).unionByName(row(found, True)).groupBy("key").agg(
-        F.max(F.when(~F.col("new"), F.col("x"))).alias("old"), F.max("status").alias("status"), F.min(F.when(F.col("new"), F.col("x"))).alias("find")
+    find = F.struct("depth", "discovered_from", "title", "enqueued_at")
+    record = F.struct(*frontier.columns)
+    both = (
+        frontier.select("key", record.alias("old"))
+        .unionByName(found.select("key", find.alias("find")), allowMissingColumns=True)
+        .groupBy("key")
+        .agg(F.first("old", ignorenulls=True).alias("old"), F.min("find").alias("find"))
     )
-    nearer = F.col("old").isNotNull() & (F.col("status") == "pending") & (F.col("find")["depth"] < F.col("old")["depth"])
-    taken = F.when(F.col("old").isNull(), F.col("find")).otherwise(F.col("old"))
-    from_ = F.when(nearer, F.col("find")).otherwise(taken)
-    return both.select("key", taken["title"].alias("title"), from_["depth"].alias("depth"), F.coalesce("status", F.lit("pending")).alias("status"), from_["discovered_from"].alias("discovered_from"))
+    new = F.col("old").isNull()
+    nearer = ~new & (F.col("old.status") == "pending") & F.col("find").isNotNull() & (F.col("find.depth") < F.col("old.depth"))
+    kind = {f.name: f.dataType for f in frontier.schema}
+    fresh = {"title": F.col("find.title"), "status": F.lit("pending"), "retries": F.lit(0)}
+
+    def column(c: str):
+        if c == "key":
+            return F.col("key")
+        if c in ("depth", "discovered_from", "enqueued_at"):
+            return F.when(new | nearer, F.col(f"find.{c}")).otherwise(F.col(f"old.{c}")).cast(kind[c]).alias(c)
+        return F.when(new, fresh.get(c, F.lit(None))).otherwise(F.col(f"old.{c}")).cast(kind[c]).alias(c)
+
+    return both.select(*map(column, frontier.columns))
 
 
 def unseen(candidates: DataFrame, *known: DataFrame, cap: int = 100_000) -> DataFrame:

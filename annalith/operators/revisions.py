@@ -84,22 +84,37 @@ def last_revisions(revisions: DataFrame, limit: int = C.MAX_REVISIONS) -> DataFr
 def as_of(revisions: DataFrame, times: Sequence[str]) -> DataFrame:
     """page_id, as_of, rev_id, content: the last revision of each page at each of the given UTC times; pages without none yet.
 
-    Each revision is counted for the times from which it is known; an aggregation with map-side combine, no join. The times
-    are a literal array.
+    The identifiers are chosen first, without contents: an aggregation with map-side combine in which each revision is counted
+    for the times from which it is known. The contents of those chosen, one for each page and time at most, are joined.
     """
+    chosen = last_known(revisions, times)
+    return chosen.join(revisions.select("page_id", "rev_id", "content"), ["page_id", "rev_id"]).select("page_id", "as_of", "rev_id", "content")
+
+
+def last_known(revisions: DataFrame, times: Sequence[str]) -> DataFrame:
+    """page_id, as_of, rev_id: as ``as_of``, without contents. The times are a literal array, ascending or not."""
     known = F.filter(F.array(*(F.to_timestamp(F.lit(t)) for t in times)), lambda t: F.col("ts") <= t)
-    last = F.max_by(F.struct("rev_id", "content"), F.struct("ts", *ORDER))
-    return (
-        revisions.withColumn("as_of", F.explode(known)).groupBy("page_id", "as_of").agg(last.alias("x")).select("page_id", "as_of", "x.rev_id", "x.content")
-    )
+    light = revisions.select("page_id", "rev_id", "ts", *ORDER[:1])
+    # of each stretch between two times only a page's last revision can be asked for, so a revision isn't repeated for each time
+    last = light.withColumn("_known", known).groupBy("page_id", "_known").agg(F.max(F.struct("ts", *ORDER)).alias("x"))
+    return last.select("page_id", F.explode("_known").alias("as_of"), "x").groupBy("page_id", "as_of").agg(F.max("x").alias("x")).select("page_id", "as_of", "x.rev_id")
 
 
 def year_ends(revisions: DataFrame, first: int, last: int) -> DataFrame:
     """page_id, year, rev_id, content at the end of each year, carried forward; nothing before a page's first revision."""
-    rows = as_of(revisions, [f"{y}-12-31 23:59:59" for y in range(first, last + 1)])
+    rows = as_of(revisions, _year_ends(first, last))
     return rows.select("page_id", F.year("as_of").alias("year"), "rev_id", "content")
 
 
+def year_end_ids(revisions: DataFrame, first: int, last: int) -> DataFrame:
+    """page_id, year, rev_id: as ``year_ends``, without contents."""
+    return last_known(revisions, _year_ends(first, last)).select("page_id", F.year("as_of").alias("year"), "rev_id")
+
+
+def _year_ends(first: int, last: int) -> list[str]:
+    return [f"{y}-12-31 23:59:59" for y in range(first, last + 1)]
+
+
 def at_revision(revisions: DataFrame, wanted: DataFrame) -> DataFrame:
     """page_id, wanted, rev_id, content: the revision asked for, or the page's latest if it isn't there.
 
@@ -107,11 +122,11 @@ def at_revision(revisions: DataFrame, wanted: DataFrame) -> DataFrame:
     by page and revision, and every page has one latest row, so no page's revisions are multiplied by its requests.
     """
     asked = wanted.where("page_id IS NOT NULL").select("page_id", F.col("rev_id").alias("wanted")).distinct()
-    found = F.struct("rev_id", "content")
-    hits = revisions.select("page_id", F.col("rev_id").alias("wanted"), found.alias("hit"))
-    latest = revisions.groupBy("page_id").agg(F.max_by(found, F.struct("ts", *ORDER)).alias("latest"))
+    hits = revisions.select("page_id", F.col("rev_id").alias("wanted"), F.col("rev_id").alias("hit"))
+    latest = revisions.groupBy("page_id").agg(F.max_by("rev_id", F.struct("ts", *ORDER)).alias("latest"))
     rows = asked.join(hits, ["page_id", "wanted"], "left").join(latest, "page_id")
-    return rows.withColumn("x", F.coalesce("hit", "latest")).select("page_id", "wanted", "x.rev_id", "x.content")
+    chosen = rows.select("page_id", "wanted", F.coalesce("hit", "latest").alias("rev_id"))
+    return chosen.join(revisions.select("page_id", "rev_id", "content"), ["page_id", "rev_id"]).select("page_id", "wanted", "rev_id", "content")
 
 
 def revision_deltas(revisions: DataFrame) -> DataFrame:
@@ -238,9 +253,17 @@ def edits_of(by_page: DataFrame, articles: DataFrame, target: str) -> DataFrame:
     return edits_by_title(by_page, articles).where(F.col("title_key") == key).select("year", "edits").distinct().orderBy("year")
 
 
-def active_at(df: DataFrame, start: str, end: str, at: str) -> DataFrame:
-    """Rows whose half-open interval holds the UTC time ``at``; a null end is open, a null start holds nothing."""
-    t = F.to_timestamp(F.lit(at))
-    return df.where((F.col(start) <= t) & (F.col(end).isNull() | (t < F.col(end))))
+def edit_report(by_page: DataFrame, articles: DataFrame, target: str, recent: int = 10) -> DataFrame:
+    """One row about a page's edits: years, total, most, most_year, least, least_year, equilibrium_year, and recent, its last
+    years as an array of {year, edits}; none for an unknown page. A page's series has one row for each year."""
+    mine = edits_of(by_page, articles, target).withColumn("page_id", F.lit(target))
+    items = F.array_sort(F.collect_list(F.struct("year", "edits")))
+    last = mine.groupBy("page_id").agg(items.alias("all")).select("page_id", F.slice("all", F.greatest(F.size("all") - recent + 1, F.lit(1)), recent).alias("recent"))
+    return edit_summary(mine).join(equilibrium(mine), "page_id").join(last, "page_id").drop("page_id")
 
 
+def active_at(df: DataFrame, start: str, end: str, at: str | int | float) -> DataFrame:
+    """Rows whose half-open interval holds the UTC time ``at``, a timestamp or seconds since 1970; a null end is open, a null
+    start holds nothing. A time that can't be read holds no row."""
+    known = F.to_timestamp(F.timestamp_seconds(F.lit(at))) if isinstance(at, (int, float)) else F.try_to_timestamp(F.lit(at))
+    return df.where(F.coalesce((F.col(start) <= known) & (F.col(end).isNull() | (known < F.col(end))), F.lit(False)))

@@ -68,10 +68,10 @@ def embeddings(
         .withColumn("r", F.row_number().over(by_count))
         .where(F.col("r") <= most)
     )
-    slot = (V.compat_hash(F.col("neighbour")) % dimension).cast("int")
-    sign = F.when(V.compat_hash(F.concat("neighbour", F.lit("#sign"))) % 2 == 0, 1.0).otherwise(-1.0)
-    hashed = counts.select("neighbour").distinct().select("neighbour", slot.alias("slot"), sign.alias("sign"))
-    weighted = counts.join(hashed, "neighbour").withColumn("weight", F.log1p("count") * F.col("sign"))
+    # the hash of a word with a suffix goes on from that of the word
+    hashed = counts.withColumn("h", V.compat_hash(F.col("neighbour")))
+    sign = F.when(V.compat_hash(F.lit("#sign"), F.col("h")) % 2 == 0, 1.0).otherwise(-1.0)
+    weighted = hashed.select(*counts.columns, (F.col("h") % dimension).cast("int").alias("slot"), (F.log1p("count") * sign).alias("weight"))
     feature = F.transform(F.filter(F.array_sort(F.collect_list(F.struct("r", "neighbour", "count"))), lambda x: x["r"] <= features), lambda x: F.struct(x["neighbour"].alias("feature"), x["count"].alias("weight")))
     at = lambda i: F.coalesce(F.sum(F.when(F.col("slot") == i, F.col("weight"))), F.lit(0.0))
     raw = F.array(*(at(i) for i in range(dimension)))
@@ -157,7 +157,7 @@ def align_all(vectors: DataFrame, dimension: int = C.DIMENSION) -> DataFrame:
 def unaligned_shift(shared: DataFrame, drifts: DataFrame, word: str) -> DataFrame:
     """word, cosine_shift, aligned of one word: from ``drifts``, or if it has no row, without alignment."""
     plain = shared.where(F.col("word") == word).select("word", (1 - V.cosine(F.col("a"), F.col("b"))).alias("plain"))
-    return plain.join(drifts.where(F.col("word") == word).select("word", "cosine_shift"), "word", "left").select(
+    return plain.join(drifts.where(F.col("word") == word).select("word", "cosine_shift"), "word", "full").select(
         "word", F.coalesce("cosine_shift", "plain").alias("cosine_shift"), F.col("cosine_shift").isNotNull().alias("aligned")
     )
 

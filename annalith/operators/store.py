@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
-from annalith.session import checkpointed
+from annalith.session import checkpointed, replace_folder
 
 
 def get(df: DataFrame, key: str, value) -> DataFrame:
@@ -69,18 +70,38 @@ def delete(df: DataFrame, keys_: DataFrame, key: Sequence[str]) -> tuple[DataFra
 
 
 def write_index(df: DataFrame, root: str, name: str, by: str | None = "year") -> str:
-    """Write an index as Parquet under ``root``/``name``, partitioned by ``by``, replacing what was there. The path."""
+    """Write an index as Parquet under ``root``/``name``, partitioned by ``by``, replacing what was there. The path.
+
+    Rows are range-partitioned by ``by`` and the columns after it, so a large year is written by several tasks. The new index
+    is written beside the old one first.
+    """
     path = f"{root}/{name}"
-    parts = df.repartition(by) if by and by in df.columns else df
-    writer = parts.write.mode("overwrite")
-    (writer.partitionBy(by) if by and by in df.columns else writer).parquet(path)
+    by = by if by in df.columns else None
+    replace_folder(df.sparkSession, path, lambda beside: _partitioned(df, by).parquet(beside))
     return path
 
 
+def _partitioned(df: DataFrame, by: str | None) -> DataFrameWriter:
+    if by is None:
+        return df.write
+    order = [f.name for f in df.schema if f.name != by and isinstance(f.dataType, AtomicType)]
+    return df.repartitionByRange(by, *order[:2]).write.partitionBy(by)
+
+
 def upsert_index(spark: SparkSession, rows: DataFrame, root: str, name: str, key: Sequence[str], by: str | None = "year") -> str:
-    """Put ``rows`` into a written index. The new state is written to the shared folder before the old one is replaced."""
+    """Put ``rows`` into a written index. Only the partitions of ``rows`` are read and replaced, when all of them are written.
+
+    With ``by`` among ``key`` a row's key lies in its own partition; otherwise the whole index is written anew.
+    """
     path = f"{root}/{name}"
-    return write_index(checkpointed(put(spark.read.parquet(path).select(*rows.columns), rows, key)), root, name, by)
+    old = spark.read.parquet(path).select(*rows.columns)
+    if by is None or by not in key:
+        return write_index(checkpointed(put(old, rows, key)), root, name, by)
+    rows = checkpointed(rows)
+    touched = F.broadcast(rows.select(by).distinct())  # partitions of the index are few
+    new = checkpointed(put(old.join(touched, by, "left_semi"), rows, key).select(*rows.columns))
+    _partitioned(new, by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    return path
 
 
 def read_index(spark: SparkSession, root: str, name: str) -> DataFrame:

@@ -91,21 +91,23 @@ def diff_totals(changes: DataFrame) -> DataFrame:
 
 
 def diff_tops(changes: DataFrame, n: int = C.TOP_WORDS) -> DataFrame:
-    """year, word, side, place_no, article, amount: the articles with the largest changes; ties by article, then page.
+    """year, word, side, place_no, article, added, removed: the articles with the largest changes; ties by article, then page.
 
     The rank filter lets Spark keep n rows of a group on the map side.
     """
     sides = F.array(*(F.struct(F.lit(s).alias("side"), F.col(s).alias("amount")) for s in ("added", "removed")))
-    rows = changes.select("year", "word", "article", "page_id", F.inline(sides)).where("amount > 0")
+    rows = changes.select("year", "word", "article", "page_id", "added", "removed", F.inline(sides)).where("amount > 0")
     order = Window.partitionBy("year", "word", "side").orderBy(F.desc("amount"), "article", "page_id")
-    return rows.withColumn("place_no", F.row_number().over(order)).where(F.col("place_no") <= n).select("year", "word", "side", "place_no", "article", "amount")
+    return rows.withColumn("place_no", F.row_number().over(order)).where(F.col("place_no") <= n).select(
+        "year", "word", "side", "place_no", "article", "added", "removed"
+    )
 
 
 def diff_index(changes: DataFrame, n: int = C.TOP_WORDS) -> DataFrame:
-    """``diff_totals`` with ``top_added`` and ``top_removed``, arrays of {article, amount} of at most ``n``, best first."""
-    item = F.struct("place_no", "article", "amount")
+    """``diff_totals`` with ``top_added`` and ``top_removed``, arrays of {article, added, removed} of at most ``n``, best first."""
+    item = F.struct("place_no", "article", "added", "removed")
     top = lambda s: F.transform(
-        F.array_sort(F.collect_list(F.when(F.col("side") == s, item))), lambda x: F.struct(x["article"].alias("article"), x["amount"].alias("amount"))
+        F.array_sort(F.collect_list(F.when(F.col("side") == s, item))), lambda x: x.dropFields("place_no")
     ).alias(f"top_{s}")
     return diff_totals(changes).join(diff_tops(changes, n).groupBy("year", "word").agg(top("added"), top("removed")), ["year", "word"])
 

@@ -157,21 +157,21 @@ def diff_totals(spark, d):
 
 
 @query(f"""WITH {DIFF},
-s AS (SELECT year, word, 'added' AS side, page_id, article, added AS amount FROM d UNION ALL SELECT year, word, 'removed', page_id, article, removed FROM d)
-SELECT year, word, side, cast(row_number() OVER (PARTITION BY year, word, side ORDER BY amount DESC, article, page_id) AS INT) AS place_no, article, amount
+s AS (SELECT year, word, 'added' AS side, page_id, article, added, removed, added AS amount FROM d UNION ALL SELECT year, word, 'removed', page_id, article, added, removed, removed FROM d)
+SELECT year, word, side, cast(row_number() OVER (PARTITION BY year, word, side ORDER BY amount DESC, article, page_id) AS INT) AS place_no, article, added, removed
 FROM s WHERE amount > 0 QUALIFY place_no <= {C.TOP_WORDS}""")
 def diff_tops(spark, d):
     return T.diff_tops(changes(spark, d))
 
 
 @query(f"""WITH {DIFF},
-s AS (SELECT year, word, 'added' AS side, page_id, article, added AS amount FROM d UNION ALL SELECT year, word, 'removed', page_id, article, removed FROM d),
+s AS (SELECT year, word, 'added' AS side, page_id, article, added, removed, added AS amount FROM d UNION ALL SELECT year, word, 'removed', page_id, article, added, removed, removed FROM d),
 o AS (SELECT *, row_number() OVER (PARTITION BY year, word, side ORDER BY amount DESC, article, page_id) AS r FROM s WHERE amount > 0 QUALIFY r <= {C.TOP_WORDS})
-SELECT totals.*, coalesce(string_agg(article || '=' || amount, '; ' ORDER BY r) FILTER (side = 'added'), '') AS top_added,
-       coalesce(string_agg(article || '=' || amount, '; ' ORDER BY r) FILTER (side = 'removed'), '') AS top_removed
+SELECT totals.*, coalesce(string_agg(article || '=' || added || '-' || removed, '; ' ORDER BY r) FILTER (side = 'added'), '') AS top_added,
+       coalesce(string_agg(article || '=' || added || '-' || removed, '; ' ORDER BY r) FILTER (side = 'removed'), '') AS top_removed
 FROM totals JOIN o USING (year, word) GROUP BY ALL""")
 def diff_index(spark, d):
-    shown = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("=", x["article"], x["amount"].cast("string"))), "; ").alias(c)
+    shown = lambda c: F.array_join(F.transform(c, lambda x: F.format_string("%s=%d-%d", x["article"], x["added"], x["removed"])), "; ").alias(c)
     rows = T.diff_index(changes(spark, d))
     return rows.select(*(c for c in rows.columns if not c.startswith("top_")), shown("top_added"), shown("top_removed"))
 
@@ -214,9 +214,17 @@ def cooccurrence(spark, d):
     return M.cooccurrence(texts(spark, d))
 
 
-def _embeddings(spark, d) -> DataFrame:
-    """The embeddings as a written table, since what follows reads them more than once."""
-    return checkpointed(M.embeddings(M.cooccurrence(texts(spark, d))))
+def _embeddings(spark, d, *years: int) -> DataFrame:
+    """The embeddings of some years, or of all, as a written table, since what follows reads them more than once.
+
+    The years are chosen before the texts are read.
+    """
+    rows = texts(spark, d)
+    return checkpointed(M.embeddings(M.cooccurrence(rows.where(F.col("year").isin(*years)) if years else rows)))
+
+
+def _shared(spark, d) -> DataFrame:
+    return M.shared_vocabulary(_embeddings(spark, d, BASE, TARGET), BASE, TARGET)
 
 
 @query(f"WITH {EMB} SELECT year, word, slot::INT AS slot, round(v, 6) + 0.0 AS v, round(norm, 6) AS norm FROM z WHERE abs(v) > 1e-9")
@@ -229,14 +237,14 @@ def embeddings(spark, d):
 FROM cooc WHERE year = 2012 AND word = '{WORD}' GROUP BY ALL""")
 def embedding_point(spark, d):
     f = F.array_join(F.transform("top_features", lambda x: F.concat_ws("=", x["feature"], x["weight"].cast("string"))), "; ")
-    return _embeddings(spark, d).where((F.col("year") == 2012) & (F.col("word") == WORD)).select("year", "word", "feature_count", f.alias("features"))
+    return _embeddings(spark, d, 2012).where(F.col("word") == WORD).select("year", "word", "feature_count", f.alias("features"))
 
 
 @query(f"""WITH {EMB}, q AS (SELECT slot, v FROM z WHERE year = 2012 AND word = '{WORD}')
 SELECT word, round(coalesce(sum(z.v * q.v), 0), 6) + 0.0 AS score FROM z LEFT JOIN q USING (slot) JOIN (SELECT year, word FROM m WHERE norm > 1e-12) USING (year, word)
 WHERE year = 2012 AND word <> '{WORD}' GROUP BY word ORDER BY score DESC, word LIMIT {C.NN_LIMIT}""")
 def nearest_neighbors(spark, d):
-    return M.nearest(_embeddings(spark, d).where("year = 2012"), M.normalised_word("Hárbour")).select("word", (F.col("score") + 0.0).alias("score"))
+    return M.nearest(_embeddings(spark, d, 2012), M.normalised_word("Hárbour")).select("word", (F.col("score") + 0.0).alias("score"))
 
 
 @query("""WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)
@@ -248,7 +256,7 @@ def nearest_vectors(spark, d):
 
 @query(f"WITH {COOC} SELECT DISTINCT a.word FROM cooc a JOIN cooc b USING (word) WHERE a.year = {BASE} AND b.year = {TARGET}")
 def shared_vocab(spark, d):
-    return M.shared_vocabulary(_embeddings(spark, d), BASE, TARGET).select("word")
+    return _shared(spark, d).select("word")
 
 
 @query(f"""WITH {EMB}
@@ -256,14 +264,14 @@ SELECT {C.DIMENSION} AS dimension, (SELECT count(DISTINCT word) FROM ab) AS shar
        round((SELECT sum((a - b * sign) * (a - b * sign)) FROM ab JOIN sg USING (slot)) / (SELECT count(DISTINCT word) FROM ab), 6) AS disparity,
        (SELECT string_agg(sign, ' ' ORDER BY slot) FROM sg) AS signs""")
 def alignment(spark, d):
-    return M.alignment(M.shared_vocabulary(_embeddings(spark, d), BASE, TARGET)).select(
+    return M.alignment(_shared(spark, d)).select(
         "dimension", "shared_vocab_size", F.round("disparity", 6).alias("disparity"), F.array_join(F.transform("signs", lambda s: s.cast("string")), " ").alias("signs")
     )
 
 
 @query(f"WITH {EMB} SELECT slot::INT AS row_no, c::INT AS column_no, CASE WHEN c = slot THEN sign ELSE 0 END AS value FROM sg, range({C.DIMENSION}) r(c)")
 def alignment_matrix(spark, d):
-    rows = M.alignment(M.shared_vocabulary(_embeddings(spark, d), BASE, TARGET))
+    rows = M.alignment(_shared(spark, d))
     return rows.select(F.posexplode(V.diagonal(F.col("signs"))).alias("row_no", "r")).select("row_no", F.posexplode("r").alias("column_no", "value"))
 
 
@@ -286,7 +294,7 @@ dr AS (SELECT word, 1 - sum(a * b * sign) / nullif(sqrt(sum(a * a)) * sqrt(sum(b
 rk AS (SELECT word, avg(abs(a.place_no - b.place_no)) AS rank_shift FROM cooc a JOIN cooc b USING (word, neighbour) WHERE a.year = {BASE} AND b.year = {TARGET} GROUP BY word)
 SELECT word, round(cosine_shift, 6) + 0.0 AS cosine_shift, round(euclidean_shift, 5) + 0.0 AS euclidean_shift, round(rank_shift, 6) AS rank_shift FROM dr LEFT JOIN rk USING (word)""")
 def drift(spark, d):
-    shared = M.shared_vocabulary(_embeddings(spark, d), BASE, TARGET)
+    shared = _shared(spark, d)
     return M.drift(shared, M.alignment(shared)).select(
         "word", (F.round("cosine_shift", 6) + 0.0).alias("cosine_shift"), (F.round("euclidean_shift", 5) + 0.0).alias("euclidean_shift"), F.round("rank_shift", 6).alias("rank_shift")
     )
@@ -295,14 +303,14 @@ def drift(spark, d):
 @query(f"""WITH {COOC}
 SELECT word, round(avg(abs(a.place_no - b.place_no)), 6) AS rank_shift FROM cooc a JOIN cooc b USING (word, neighbour) WHERE a.year = {BASE} AND b.year = {TARGET} GROUP BY word""")
 def rank_shift(spark, d):
-    shared = M.shared_vocabulary(_embeddings(spark, d), BASE, TARGET)
+    shared = _shared(spark, d)
     names = lambda c: F.transform(c, lambda x: x["feature"])
     return shared.select("word", F.round(V.rank_shift(names("features_a"), names("features_b")), 6).alias("rank_shift")).where("rank_shift IS NOT NULL")
 
 
 @query(f"""WITH {EMB} SELECT word, round(1 - sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))), 6) + 0.0 AS cosine_shift, false AS aligned FROM ab WHERE word = '{WORD}' GROUP BY word""")
 def drift_fallback(spark, d):
-    shared = M.shared_vocabulary(_embeddings(spark, d), BASE, TARGET)
+    shared = _shared(spark, d)
     none = spark.createDataFrame([], "word string, cosine_shift double")
     return M.unaligned_shift(shared, none, WORD).withColumn("cosine_shift", F.round("cosine_shift", 6) + 0.0)
 
@@ -373,23 +381,17 @@ def asof_snapshot(spark, d):
 @query(f"""WITH {R_}, t AS (SELECT unnest(range(2008, 2020)) AS t)
 SELECT page_id, t::INT AS year, arg_max(rev_id, (ts, pos, rev_id)) AS rev_id FROM v, t WHERE ts <= (t || '-12-31 23:59:59+00')::TIMESTAMPTZ GROUP BY ALL""")
 def year_end_snapshots(spark, d):
-    return R.year_ends(history(spark, d, "content"), 2008, 2019).select("page_id", "year", "rev_id")
-
-
-@query(f"""WITH {R_}, w AS (SELECT page_id, max(rev_id) AS wanted FROM split_requests WHERE page_id IS NOT NULL GROUP BY page_id),
-h AS (SELECT page_id, wanted, arg_max(rev_id, (coalesce(rev_id = wanted, false), ts, pos, rev_id)) AS rev_id FROM v JOIN w USING (page_id) GROUP BY ALL)
-SELECT * FROM h""")
-def reconstruct_revision(spark, d):
-    wanted = table(spark, d, "split_requests").where("page_id IS NOT NULL").groupBy("page_id").agg(F.max("rev_id").alias("rev_id"))
-    return R.at_revision(history(spark, d, "content"), wanted).select("page_id", "wanted", "rev_id")
+    return R.year_end_ids(history(spark, d), 2008, 2019)
 
 
 @query(f"""WITH {R_}, w AS (SELECT DISTINCT page_id, rev_id AS wanted FROM split_requests WHERE page_id IS NOT NULL),
 l AS (SELECT page_id, arg_max(rev_id, (ts, pos, rev_id)) AS latest FROM v GROUP BY page_id)
-SELECT w.page_id, w.wanted, coalesce(v.rev_id, l.latest) AS rev_id FROM w JOIN l USING (page_id) LEFT JOIN v ON v.page_id = w.page_id AND v.rev_id = w.wanted""")
-def reconstruct_requests(spark, d):
+c AS (SELECT w.page_id, w.wanted, coalesce(v.rev_id, l.latest) AS rev_id FROM w JOIN l USING (page_id) LEFT JOIN v ON v.page_id = w.page_id AND v.rev_id = w.wanted)
+SELECT c.page_id, c.wanted, c.rev_id, md5(coalesce(content, '')) AS digest FROM c JOIN v USING (page_id, rev_id)""")
+def reconstruct_revision(spark, d):
     wanted = table(spark, d, "split_requests").select("page_id", "rev_id")
-    return R.at_revision(history(spark, d, "content"), wanted).select("page_id", "wanted", "rev_id")
+    rows = R.at_revision(history(spark, d, "content"), wanted)
+    return rows.select("page_id", "wanted", "rev_id", F.md5(F.coalesce("content", F.lit(""))).alias("digest"))
 
 
 @query(f"""WITH {R_}, l AS (SELECT page_id, rev_id, coalesce(content, '') AS c, coalesce(lag(coalesce(content, '')) OVER (PARTITION BY page_id ORDER BY ts, pos, rev_id), '') AS p FROM v)
@@ -566,11 +568,12 @@ _NODES = sorted(PL.node_id(f"10.0.0.{i}", 8080) for i in range(1, 6))
 @query(f"""WITH k AS (SELECT DISTINCT page_id, sha256('"' || page_id || '"') AS id FROM articles WHERE page_id IS NOT NULL),
 n AS (SELECT unnest([{quoted(_NODES)}]) AS node),
 w AS (SELECT page_id, arg_max(node, sha256(id || node)) AS weight FROM k, n GROUP BY page_id),
-r AS (SELECT page_id, coalesce(min(node) FILTER (node >= id), '{_NODES[0]}') AS ring FROM k, n GROUP BY page_id)
-SELECT page_id, id, ring, weight FROM k JOIN w USING (page_id) JOIN r USING (page_id)""")
+r AS (SELECT page_id, coalesce(min(node) FILTER (node >= id), '{_NODES[0]}') AS ring FROM k, n GROUP BY page_id),
+m AS (SELECT page_id, list_reduce(list_transform(range(8), lambda i: ('0x' || substr(id, (i * 8 + 1)::INT, 8))::BIGINT), lambda r, p: (r * 4294967296 + p) % 5, 0::BIGINT) AS rest FROM k)
+SELECT page_id, id, ring, weight, [{quoted(_NODES)}][rest + 1] AS naive FROM k JOIN m USING (page_id) JOIN w USING (page_id) JOIN r USING (page_id)""")
 def placements(spark, d):
     rows = K.keys(table(spark, d, "articles"), "page_id").withColumn("id", PL.key_id(F.col("page_id")))
-    return rows.select("page_id", "id", PL.on_ring(F.col("id"), _NODES).alias("ring"), PL.by_weight(F.col("id"), _NODES).alias("weight"))
+    return rows.select("page_id", "id", PL.on_ring(F.col("id"), _NODES).alias("ring"), PL.by_weight(F.col("id"), _NODES).alias("weight"), PL.by_remainder(F.col("id"), _NODES).alias("naive"))
 
 
 @query("""SELECT DISTINCT split_part(k, ':', 1) AS family, cast(split_part(k, ':', 2) AS INT) AS year, substr(k, 7 + length(split_part(k, ':', 2))) AS word
@@ -610,6 +613,21 @@ def map_reduce(spark, d):
     return MR.map_reduce(rows, lambda r: [(r["source"], int(r["n_chars"]))], lambda _, v: int(sum(v)), "long", "long", combine=True)
 
 
+@query("SELECT source AS key, cast(sum(n_chars) AS BIGINT) AS value FROM documents WHERE source IS NOT NULL AND n_chars IS NOT NULL GROUP BY source")
+def map_reduce_lists(spark, d):
+    rows = table(spark, d, "documents").select("source", "n_chars").where("source IS NOT NULL AND n_chars IS NOT NULL")
+    return MR.map_reduce(rows, lambda r: [(r["source"], int(r["n_chars"]))], lambda _, v: int(sum(v)), "long", "long")
+
+
+@query("""SELECT DISTINCT title, regexp_replace(title, '[^a-zA-Z0-9._-]', '_', 'g') AS file_name, coalesce(nullif(title, ''), page_id, '') AS shown,
+concat_ws('&', 'page=' || page_id, CASE WHEN title <> '' THEN 'title=' || replace(replace(url_encode(title), '%20', '+'), '~', '%7E') END) AS query
+FROM articles WHERE page_id IS NOT NULL AND (title IS NULL OR regexp_full_match(title, '[A-Za-z0-9 ._~-]*'))""")
+def names_of_titles(spark, d):
+    rows = table(spark, d, "articles").where("page_id IS NOT NULL").where(F.col("title").isNull() | F.col("title").rlike(r"^[A-Za-z0-9 ._~-]*$")).select("title", "page_id").distinct()
+    params = F.create_map(F.lit("page"), F.col("page_id"), F.lit("title"), F.col("title"))
+    return rows.select("title", X.file_name(F.col("title")).alias("file_name"), X.first_filled(F.col("title"), F.col("page_id")).alias("shown"), X.query_string(params).alias("query")).distinct()
+
+
 # ---- frontier
 
 def frontier(spark, d) -> DataFrame:
@@ -660,7 +678,44 @@ SELECT key, CASE WHEN is_new THEN nt ELSE ot END AS title, CASE WHEN is_new OR (
 CASE WHEN is_new OR (nt IS NOT NULL AND status = 'pending' AND od > 1) THEN nf ELSE of_ END AS discovered_from FROM b""")
 def frontier_merge(spark, d):
     found = FR.discovered(_edges(spark, d).select(F.col("dst_title").alias("title"), F.lit(1).alias("depth"), F.col("src_title").alias("discovered_from")))
-    return FR.merge(frontier(spark, d), found)
+    return FR.merge(frontier(spark, d), found).select("key", "title", "depth", "status", "discovered_from")
+
+
+def _round_sql(n: int, now: str) -> str:
+    """One round of the crawl over f{n}: what is claimed, how it ends, what is found, and the frontier after it."""
+    t = f"TIMESTAMP '{now}'"
+    return f"""b{n} AS (SELECT key FROM f{n} WHERE status = 'pending' AND depth <= 2 ORDER BY depth, enqueued_at, key LIMIT 300),
+o{n} AS (SELECT key, length(key) % 3 = 0 AS failed FROM b{n}),
+s{n} AS (SELECT key, title, depth, CASE WHEN failed IS NULL THEN status WHEN NOT failed THEN 'stored' WHEN retries + 1 < 2 THEN 'pending' ELSE 'failed' END AS status, discovered_from, enqueued_at,
+  CASE WHEN failed IS NULL THEN claimed_at WHEN NOT failed THEN {t} END AS claimed_at, retries + coalesce(failed::INT, 0) AS retries FROM f{n} LEFT JOIN o{n} USING (key)),
+l{n} AS (SELECT {_KEY.format(c='dst').replace("translate(dst, '_', ' ')", 'dst')} AS key, depth + 1 AS depth, src, dst FROM g JOIN s{n} ON s{n}.key = g.from_key JOIN o{n} USING (key) WHERE NOT failed AND depth + 1 <= 2),
+n{n} AS (SELECT key, min(depth) AS depth, arg_min(src, (depth, src, dst)) AS src, arg_min(dst, (depth, src, dst)) AS dst FROM l{n} WHERE key <> '' GROUP BY key),
+m{n} AS (SELECT coalesce(s.key, n.key) AS key, s.key IS NULL AS new, s.key IS NULL OR (n.key IS NOT NULL AND s.status = 'pending' AND n.depth < s.depth) AS taken, s.title, s.depth AS d, s.status, s.discovered_from, s.enqueued_at,
+  s.claimed_at, s.retries, n.depth AS nd, n.src, n.dst FROM s{n} s FULL JOIN n{n} n ON n.key = s.key),
+f{n + 1} AS (SELECT key, CASE WHEN new THEN dst ELSE title END AS title, CASE WHEN taken THEN nd ELSE d END AS depth,
+  CASE WHEN new OR status = 'inflight' AND claimed_at <= {t} - INTERVAL 5 MINUTE THEN 'pending' ELSE status END AS status, CASE WHEN taken THEN src ELSE discovered_from END AS discovered_from,
+  CASE WHEN taken THEN {t} ELSE enqueued_at END AS enqueued_at, CASE WHEN status = 'inflight' AND claimed_at <= {t} - INTERVAL 5 MINUTE THEN NULL ELSE claimed_at END AS claimed_at, coalesce(retries, 0) AS retries FROM m{n})"""
+
+
+_ROUNDS = ["2020-01-20 00:00:00", "2020-02-20 00:00:00"]
+
+
+@query(rf"""WITH {FRONT}, {Y}, l AS (SELECT title AS src, unnest(list_transform(regexp_extract_all(text, '\[\[([^\]|#]+)([|#][^\]]+)?\]\]', 1), lambda x: trim(x))) AS dst FROM y WHERE text <> '' AND title IS NOT NULL),
+g AS (SELECT DISTINCT src, dst, {_KEY.format(c='src').replace("translate(src, '_', ' ')", 'src')} AS from_key FROM l WHERE dst <> '' AND NOT regexp_matches(dst, '^({"|".join(C.DUMP_PREFIXES)})')),
+f0 AS (SELECT key, title, depth, status, discovered_from, enqueued_at, CASE WHEN status = 'inflight' THEN enqueued_at END AS claimed_at, 0 AS retries FROM frontier),
+{_round_sql(0, _ROUNDS[0])},
+{_round_sql(1, _ROUNDS[1])}
+SELECT key, title, depth, status, discovered_from, strftime(enqueued_at, '%Y-%m-%d %H:%M:%S') AS enqueued_at, strftime(claimed_at, '%Y-%m-%d %H:%M:%S') AS claimed_at, retries FROM f2""")
+def frontier_rounds(spark, d):
+    """Two rounds: batch, claim, outcomes, what the stored pages link to, and recovery. A key's length says whether it fails."""
+    state, edges = checkpointed(frontier(spark, d)), checkpointed(_edges(spark, d).withColumn("key", X.title_key(F.col("src_title"))))
+    for now in _ROUNDS:
+        taken = checkpointed(FR.batch(state).select("key", "depth"))
+        tried = taken.select("key", "depth", (F.length("key") % 3 == 0).alias("failed"))
+        after = FR.settle(FR.claim(state, taken, now), tried, now, 2)
+        links = edges.join(tried.where("NOT failed"), "key").select(F.col("dst_title").alias("title"), (F.col("depth") + 1).alias("depth"), F.col("src_title").alias("discovered_from"))
+        state = checkpointed(FR.recover_stale(FR.merge(after, FR.discovered(links, now=now)), now))
+    return state.withColumns({c: stamp(c) for c in ("enqueued_at", "claimed_at")})
 
 
 @query(rf"""WITH {FRONT}, t AS (SELECT DISTINCT title_key AS key FROM articles WHERE title_key IS NOT NULL)

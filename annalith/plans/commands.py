@@ -20,7 +20,7 @@ birth <year>              the words most added
 death <year>              the words most removed
 def <year> <title>        the first sentence of an article
 search <year> <term>...   the best articles
-edits <title or number>   a page's edits by year
+edits <title or number>   a page's edits: years, total, most, least, equilibrium, last years
 edits-global <year>       edits of all pages
 align <year> <year>       alignment of two years
 drift <year> <year> <word>  how far a word moved
@@ -103,13 +103,11 @@ class Engine:
         if word.lower() == "edits-global" and len(args) == 1:
             return revisions.edits_global(self.index("edits").where(F.col("year") == year(args[0])))
         if word == "edits" and args:
-            return revisions.edits_of(self.index("edits"), table(self.spark, self.folder, "articles"), " ".join(args))
+            return revisions.edit_report(self.index("edits"), table(self.spark, self.folder, "articles"), " ".join(args))
         if word == "align" and len(args) == 2:
             return semantics.alignment(self._shared(*args)).withColumn("matrix", semantics.V.diagonal(F.col("signs")))
         if word == "drift" and len(args) == 3:
-            shared = self._shared(*args[:2])
-            mine = shared.where(F.col("word") == semantics.normalised_word(args[2]))
-            return semantics.drift(mine, semantics.alignment(shared))
+            return self._drift_of(year(args[0]), year(args[1]), semantics.normalised_word(args[2]))
         if word == "nn" and len(args) in (2, 3):
             k = int(args[2]) if len(args) == 3 and re.fullmatch(r"-?\d+", args[2]) else C.NN_LIMIT
             return semantics.nearest(self.index("embedding").where(F.col("year") == year(args[0])), semantics.normalised_word(args[1]), k)
@@ -122,7 +120,18 @@ class Engine:
             return temporal.diff_range(self.index("diff"), args[0], int(word), int(word))
         raise CommandError(f"not understood: {line}")
 
-    def _shared(self, base: str, target: str) -> DataFrame:
+    def _drift_of(self, base: int, target: int, word: str) -> DataFrame:
+        """The drift of a word, from the index if one is written; where that lacks the word, its shift without alignment."""
+        shared = self._shared(base, target)
+        mine = shared.where(F.col("word") == word)
+        if self.root and self._written("drift"):
+            known = self.index("drift").where((F.col("base_year") == base) & (F.col("target_year") == target) & (F.col("word") == word))
+        else:
+            known = semantics.drift(mine, semantics.alignment(shared))
+        shift = semantics.unaligned_shift(mine, known, word)
+        return shift.join(known.select("word", "euclidean_shift", "rank_shift"), "word", "left")
+
+    def _shared(self, base: str | int, target: str | int) -> DataFrame:
         return semantics.shared_vocabulary(self.index("embedding"), int(base), int(target))
 
     @staticmethod

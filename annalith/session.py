@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def replace_folder(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Have ``write`` write a folder beside ``path``, then put it in its place. Until then the old one stays; if the last step
+    breaks off, the old one lies beside as ``path``.old."""
+    jvm = spark._jvm
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    new, old = f"{path}.new", f"{path}.old"
+    fs.delete(at(new), True)
+    write(new)
+    if fs.exists(at(path)):
+        fs.delete(at(old), True)
+        if not fs.rename(at(path), at(old)):
+            raise OSError(f"{path} can't be moved")
+    if not fs.rename(at(new), at(path)):
+        raise OSError(f"{new} can't be moved")
+    fs.delete(at(old), True)
+
+
 _shipped: set[str] = set()
 
 

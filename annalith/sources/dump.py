@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from annalith.functions.text import file_name, is_article, wiki_links
+from annalith.session import replace_folder
+
+#: The columns of a saved frontier.
+FRONTIER = "key string, title string, depth int, status string, discovered_from string, enqueued_at timestamp, claimed_at timestamp, retries int"
 
 _S = T.StringType()
 PAGE = T.StructType(
@@ -64,10 +68,16 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_state(frontier: DataFrame, path: str) -> None:
-    """Save a frontier's keys by status; Spark's commit protocol makes the replacement atomic for readers."""
-    frontier.select("key", "status").write.mode("overwrite").json(path)
+    """Save a frontier with all its columns as JSON lines. A failed write leaves the state saved before as it is."""
+    replace_folder(frontier.sparkSession, path, lambda beside: frontier.write.json(beside))
+
+
+def read_frontier(spark: SparkSession, path: str, schema: str = FRONTIER) -> DataFrame:
+    """A frontier saved with ``write_state``; columns that it lacks are null."""
+    return spark.read.schema(schema).json(path)
 
 
 def write_articles(articles: DataFrame, path: str) -> None:
     """Write articles (page_id, title, ...) as JSON lines, with the title as a file name beside them in ``name``."""
-    articles.withColumn("name", file_name(F.col("title"))).write.mode("overwrite").json(path)
+    named = articles.withColumn("name", file_name(F.col("title")))
+    replace_folder(articles.sparkSession, path, lambda beside: named.write.json(beside))

@@ -41,7 +41,7 @@ def test_diff_goldens(spark):
     assert rows(temporal.births(totals), "year", "place_no", "word") == [(2002, 1, "cat"), (2004, 1, "bird")]
     assert rows(temporal.deaths(totals), "year", "place_no", "word") == [(2004, 1, "cat"), (2004, 2, "dog")]
     top = temporal.diff_index(changes, 1).where("word = 'cat' AND year = 2004").first()
-    assert top.top_added == [] and [tuple(x) for x in top.top_removed] == [("A", 1)]
+    assert top.top_added == [] and [tuple(x) for x in top.top_removed] == [("A", 0, 1)]
     assert temporal.diff_totals(temporal.positional_diff(t)).count() == 4
 
 
@@ -164,8 +164,27 @@ def test_frontier(spark):
     assert merged["c"] == (1, "pending", "y") and merged["f"] == (2, "stored", "seed") and merged["new_one"] == (1, "pending", "y") and "deep" not in merged and len(merged) == 7
     assert rows(frontier.unseen(spark.createDataFrame([("a",), ("q",), ("q",), (None,)], "key string"), f)) == [("q",)]
     assert frontier.seed(f, spark.createDataFrame([("A",), ("Q q",)], "title string")).count() == 7
-    assert frontier.retry(f, "a", True, 0).where("key = 'a'").first().status == "failed"
-    assert frontier.retry(f, "a", False).where("key = 'a'").first().status == "stored"
+    merged = frontier.merge(f, frontier.discovered(links, now="2021-01-01 00:00:00"))
+    assert merged.columns == f.columns
+    kept = {r.key: r for r in merged.collect()}
+    assert kept["d"].claimed_at == dt.datetime(2020, 1, 1, 0, 10) and kept["f"].enqueued_at == dt.datetime(2020, 1, 1, 0, 1)
+    assert kept["c"].enqueued_at == kept["new_one"].enqueued_at == dt.datetime(2021, 1, 1) and kept["c"].title == "C" and kept["new_one"].retries == 0
+
+
+def test_frontier_attempts(spark, tmp_path):
+    f = front(spark, [("a", 0, "pending", 3, None), ("b", 1, "pending", 1, None), ("c", 0, "stored", 1, None), ("d", 0, "inflight", 1, 10)])
+    taken = frontier.claim(f, frontier.batch(f, 5, 2), "2020-01-02 00:00:00")
+    assert dict(rows(taken, "key", "status")) == {"a": "inflight", "b": "inflight", "c": "stored", "d": "inflight"}
+    tried = spark.createDataFrame([("a", True), ("b", False), ("c", True)], "key string, failed boolean")
+    after = {r.key: r for r in frontier.settle(taken, tried, "2020-01-02 00:01:00", 2).collect()}
+    assert (after["a"].status, after["a"].retries, after["a"].claimed_at) == ("pending", 1, None)
+    assert (after["b"].status, after["b"].claimed_at) == ("stored", dt.datetime(2020, 1, 2, 0, 1))
+    assert (after["c"].status, after["d"].status, after["d"].claimed_at) == ("stored", "inflight", dt.datetime(2020, 1, 1, 0, 10))
+    assert {r.key: r.status for r in frontier.settle(taken, tried, "2020-01-02 00:01:00", 1).collect()}["a"] == "failed"
+    for state in (f, taken):  # the second replaces the first
+        dump.write_state(state, str(tmp_path / "state"))
+        assert rows(dump.read_frontier(spark, str(tmp_path / "state"))) == rows(state)
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["state"]
 
 
 def test_traverse(spark):
@@ -265,5 +284,5 @@ def test_every_request_is_reconstructed(spark):
     folder = "/root/testdata/sf0.01"
     asked = spark.read.parquet(f"{folder}/split_requests.parquet").where("page_id IS NOT NULL").select("page_id", "rev_id").distinct()
     pages = spark.read.parquet(f"{folder}/revisions.parquet").where("rev_id IS NOT NULL AND ts IS NOT NULL").select("page_id").distinct()
-    found = entry.queries()["reconstruct_requests"](spark, folder).selectExpr("page_id", "wanted AS rev_id")
+    found = entry.queries()["reconstruct_revision"](spark, folder).selectExpr("page_id", "wanted AS rev_id")
     assert found.count() == asked.join(pages, "page_id").count() > asked.select("page_id").distinct().count()
