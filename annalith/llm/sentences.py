@@ -6,6 +6,9 @@ on reliable boundaries: those that the layout or the context settles (a paragrap
 quotation or bracket, or before a comma, dash or small letter is none), marks before a word that starts paragraphs and is
 otherwise written small, and marks between a token that always carries one but never ends a paragraph and a token that starts
 none. What settles a candidate is one of its features; for the others the tokens count.
+
+What tokens mean depends on the language. Languages of a script are told apart by the corpus: its frequent words fall into
+groups, each led by a word that occurs in most texts in which the group's words do.
 """
 
 from __future__ import annotations
@@ -18,12 +21,14 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from annalith.session import checkpointed
 
@@ -34,6 +39,8 @@ HELD = 500_000
 WEIGHTS = 1 << 15
 #: Characters on either side that make a context; repeated contexts count once.
 CONTEXT = 14
+#: The most frequent words of a script that make its languages, and the share of a word's texts in which its language's leader is.
+FREQUENT_WORDS, LED = 600, 0.6
 #: How far from a mark its tokens begin; a token is always taken whole.
 NEAR = 40
 
@@ -77,6 +84,10 @@ def _combining() -> str:
 
 
 _L = f"[\\w{_combining()}]"
+#: Runs of letters and marks, in a form that Java reads alike.
+FREQUENT = re.compile(r"[a-zß-öø-ɏͰ-ϿЀ-ԯ\u0600-\u06ffऀ-ॿ]{1,20}")
+#: Scripts of several languages whose words are told apart, with their names in regular expressions.
+MANY_LANGUAGES = {"latin": "IsLatin", "greek": "IsGreek", "cyrillic": "IsCyrillic", "arabic": "IsArabic", "devanagari": "IsDevanagari"}
 WORD = re.compile(rf"{_L}+(?:[.'’\-]{_L}+)*")
 #: The last token, with the short parts of an abbreviation before it.
 LAST_WORD = re.compile(rf"(?:(?<![^\W_])[^\W\d_]\.\s?)+[^\W\d_]$|{_L}+(?:[.'’\-]{_L}+)*$")
@@ -95,6 +106,120 @@ def script_of(text: str) -> str:
     return min(n, key=lambda k: (-n[k], k)) if n.total() else "latin"
 
 
+#: Groups of words for each script, one for each language.
+Languages = dict[str, list[frozenset]]
+
+
+def group_words(texts_with: dict[str, int], texts_with_both: dict[tuple[str, str], int]) -> Languages:
+    """Languages from the numbers of texts that have each frequent word, and each two of them (in either order).
+
+    A word that several languages share can't lead one: of the frequent words whose texts mostly have it, a fifth of the pairs
+    or more hardly ever meet. Of the others the most frequent word of a script leads a language; so does the next one that is in
+    less than half the texts of every leader so far, and they in less than half of its own. A word belongs to the leader that most
+    of its texts have, if enough have it.
+    """
+    ordered = sorted(texts_with, key=lambda w: (-texts_with[w], w))
+    at = {w: i for i, w in enumerate(ordered)}
+    n = np.array([texts_with[w] for w in ordered])
+    met = np.zeros((len(n), len(n)))
+    for (a, b), k in texts_with_both.items():
+        met[at[a], at[b]] = met[at[b], at[a]] = k
+    apart = 50 * met < np.minimum.outer(n, n)
+    both = lambda a, b: met[at[a], at[b]]
+
+    def is_shared(w: str) -> bool:
+        i = at[w]
+        with_it = np.flatnonzero((20 * n >= n[i]) & (met[i] >= LED * n))
+        pairs = len(with_it) * (len(with_it) - 1)
+        return pairs > 0 and (apart[np.ix_(with_it, with_it)].sum() - apart[with_it, with_it].sum()) >= pairs / 5
+
+    leaders: dict[str, list[str]] = {}
+    for w in ordered:
+        led = leaders.setdefault(script_of(w), [])
+        if not is_shared(w) and all(2 * both(w, x) < min(texts_with[w], texts_with[x]) for x in led):
+            led.append(w)
+    out: Languages = {}
+    for script, led in leaders.items():
+        groups: dict[str, set] = {x: {x} for x in led}
+        for w in ordered:
+            if led and script_of(w) == script and w not in groups:
+                best = max(led, key=lambda x: both(w, x))
+                if both(w, best) >= LED * texts_with[w]:
+                    groups[best].add(w)
+        out[script] = [frozenset(g) for g in groups.values() if len(g) >= 3]
+    return out
+
+
+def language_of(text: str, script: str, languages: Languages) -> str:
+    """The script, with the number of its language of which the text has most words; the script alone if it has none."""
+    groups = languages.get(script, ())
+    if len(groups) < 2:
+        return script
+    words = Counter(FREQUENT.findall(text.lower()))
+    score = [sum(words[w] for w in g if w in words) for g in groups]
+    best = max(range(len(groups)), key=lambda k: score[k])
+    return f"{script} {best}" if score[best] else script
+
+
+def read_languages(texts: Iterable[str]) -> Languages:
+    sets = [set(FREQUENT.findall(t.lower())) for t in texts if t]
+    counts = Counter(w for x in sets for w in x)
+    some: dict[str, list[str]] = {}
+    for w in sorted(counts, key=lambda w: (-counts[w], w)):
+        held = some.setdefault(script_of(w), [])
+        if len(held) < FREQUENT_WORDS:
+            held.append(w)
+    chosen = {w for held in some.values() for w in held}
+    both = Counter(pair for x in sets for pair in combinations(sorted(x & chosen), 2))
+    return group_words({w: counts[w] for w in chosen}, both)
+
+
+def count_languages(df: DataFrame, text: str) -> Languages:
+    """``read_languages`` of all texts of ``df``, counted by Spark.
+
+    A task adds up which of the frequent words meet in a text; those counts, of a fixed number of words, reach the driver.
+    """
+    pattern = FREQUENT.pattern
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)))
+    sets = df.where(F.col(text).isNotNull()).select(words.alias("words"))
+    script = F.lit("other")
+    for name, block in MANY_LANGUAGES.items():
+        script = F.when(F.col("word").rlike(rf"^\p{{{block}}}"), name).otherwise(script)
+    counts = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).withColumn("script", script)
+    order = Window.partitionBy("script").orderBy(F.desc("n"), "word")
+    top = counts.where("script <> 'other'").withColumn("r", F.row_number().over(order)).where(F.col("r") <= FREQUENT_WORDS).collect()
+    if not top:
+        return {}
+    words_of: dict[str, list[str]] = {}
+    for r in top:
+        words_of.setdefault(r["script"], []).append(r["word"])
+
+    def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = FREQUENT.findall
+        place = {w: (k, i) for k, held in words_of.items() for i, w in enumerate(held)}
+        met = {k: np.zeros((len(held), len(held))) for k, held in words_of.items()}
+        for batch in batches:
+            rows: dict[str, list[list[int]]] = {k: [] for k in words_of}
+            for text in batch.column(0).to_pylist():
+                mine: dict[str, list[int]] = {}
+                for w in set(find(text.lower())) & place.keys():
+                    mine.setdefault(place[w][0], []).append(place[w][1])
+                for k, at in mine.items():
+                    rows[k].append(at)
+            for k, sets in rows.items():
+                has = np.zeros((len(sets), len(words_of[k])), np.float32)
+                for i, at in enumerate(sets):
+                    has[i, at] = 1
+                met[k] += has.T @ has
+        for k, n in met.items():
+            a, b = np.nonzero(np.triu(n, 1))
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(a), pa.string()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(n[a, b].astype(np.int64))], ["script", "a", "b", "n"])
+
+    found = df.where(F.col(text).isNotNull()).select(text).mapInArrow(meetings, "script string, a int, b int, n long").groupBy("script", "a", "b").agg(F.sum("n").alias("n"))
+    both = {(words_of[r["script"]][r["a"]], words_of[r["script"]][r["b"]]): r["n"] for r in found.collect()}
+    return group_words({r["word"]: r["n"] for r in top}, both)
+
+
 def kind(ch: str) -> str:
     """The class of a character that follows a candidate."""
     if not ch:
@@ -344,17 +469,18 @@ def places(c: Candidate, language: str, prev: str, always: bool, nxt: str) -> li
 class Model:
     lexicon: Lexicon
     weights: np.ndarray
+    languages: Languages
 
-    def decide(self, c: Candidate, script: str) -> bool:
-        return float(self.weights[features(c, script, self.lexicon)].sum()) > 0
+    def decide(self, c: Candidate, language: str) -> bool:
+        return float(self.weights[features(c, language, self.lexicon)].sum()) > 0
 
 
-def contexts(text: str, known: set | None = None) -> Iterator[tuple[int, str, str, str]]:
+def contexts(text: str, languages: Languages, known: set | None = None) -> Iterator[tuple[int, str, str, str]]:
     """(kind, language, token, context) of a text's tokens: 0 seen, 1 before a soft mark, 2 so at a paragraph's end, 3 first of a paragraph.
 
     Paragraphs that are in ``known`` are passed over, others are added to it.
     """
-    language = script_of(text)
+    language = language_of(text, script_of(text), languages)
     for start, stop in paragraphs(text):
         if known is not None:
             key = (language, text[start : stop + CONTEXT], stop - start)
@@ -389,12 +515,12 @@ def lexicon_of(rows: Iterable[tuple[str, str, int, int, int, int]], ends: dict[s
     return lexicon
 
 
-def read_lexicon(texts: list[str]) -> Lexicon:
+def read_lexicon(texts: list[str], languages: Languages) -> Lexicon:
     """Counts over distinct contexts, since revisions of a page repeat their sentences."""
     counts: dict[tuple[str, str], list[int]] = {}
     ends: dict[str, list[int]] = {}
     known: set = set()
-    for kind, language, token, _ in {x for t in texts for x in contexts(t, known)}:
+    for kind, language, token, _ in {x for t in texts for x in contexts(t, languages, known)}:
         n = counts.setdefault((language, token), [0, 0, 0, 0])
         n[(0, 1, 2, 3)[kind]] += 1
         if kind == 2:
@@ -406,7 +532,7 @@ def read_lexicon(texts: list[str]) -> Lexicon:
     return lexicon_of(((*k, *n) for k, n in counts.items()), ends)
 
 
-def count_lexicon(df: DataFrame, text: str) -> DataFrame:
+def count_lexicon(df: DataFrame, text: str, languages: Languages) -> DataFrame:
     """language, token, seen, marked, final, initial over all texts of ``df``, as ``read_lexicon`` counts them.
 
     A task hands on each context once; contexts of a token are told apart by 64 bits.
@@ -422,7 +548,7 @@ def count_lexicon(df: DataFrame, text: str) -> DataFrame:
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                found.update(contexts(t, known))
+                found.update(contexts(t, languages, known))
                 if len(found) > HELD:
                     yield handed_on()
                     found.clear()
@@ -439,26 +565,27 @@ def count_lexicon(df: DataFrame, text: str) -> DataFrame:
 SETTLED, OPEN, LAST, HIDDEN = range(4)
 
 
-def read_candidates(text: str) -> Iterator[tuple[int, Candidate, str, str]]:
-    """(what it is for, candidate, script, context) of a text's candidates and training examples.
+def read_candidates(text: str, languages: Languages) -> Iterator[tuple[int, Candidate, str, str]]:
+    """(what it is for, candidate, language, context) of a text's candidates and training examples.
 
     LAST is the mark at a paragraph's end with what follows it, a reliable boundary; HIDDEN a mark before a small letter, which
     is reliably none, without what follows it.
     """
     script = script_of(text)
+    language = language_of(text, script, languages)
     spans = list(paragraphs(text))
     for k, (start, stop) in enumerate(spans):
         for c in candidates(text, start, stop, script):
             context = text[max(start, c.end - CONTEXT) : c.end + CONTEXT]
-            yield (OPEN if c.sure is None else SETTLED), c, script, context
+            yield (OPEN if c.sure is None else SETTLED), c, language, context
             if c.sure is False and c.next_kind == "lower" and c.gap != "none" and c.prev:
-                yield HIDDEN, Candidate(c.end, None, c.prev, c.before, "", "hidden", c.mark, c.gap), script, context
+                yield HIDDEN, Candidate(c.end, None, c.prev, c.before, "", "hidden", c.mark, c.gap), language, context
         tail = re.search(r"([.…]+)[" + re.escape(TAIL) + r"]*$", text[max(start, stop - NEAR) : stop])
         if tail and k + 1 < len(spans) and script not in SPACED:
             _, what, word = _next(text, *spans[k + 1])
             prev = _before(text, start, max(start, stop - NEAR) + tail.start())
             context = text[max(start, stop - CONTEXT) : spans[k + 1][0] + CONTEXT]
-            yield LAST, Candidate(stop, None, *prev, word, what, tail.group(1), "space"), script, context
+            yield LAST, Candidate(stop, None, *prev, word, what, tail.group(1), "space"), language, context
 
 
 def label_of(use: int, prev: str, always: bool, nxt: str, base: float) -> int | None:
@@ -474,11 +601,12 @@ def label_of(use: int, prev: str, always: bool, nxt: str, base: float) -> int |
 
 def train(texts: list[str], rounds: int = 150, decay: float = 1e-4) -> Model:
     """Fit on reliable boundaries of ``texts``, with the lexicon of the same texts."""
-    lexicon = read_lexicon(texts)
+    languages = read_languages(texts)
+    lexicon = read_lexicon(texts, languages)
     settled: Counter = Counter()
     examples: dict[tuple[int, str], tuple] = {}
     for text in texts:
-        for use, c, script, context in read_candidates(text):
+        for use, c, script, context in read_candidates(text, languages):
             if use == SETTLED:
                 settled[(script, c.sure, c.mark[:1], c.next_kind, c.gap)] += 1
             else:
@@ -490,7 +618,7 @@ def train(texts: list[str], rounds: int = 150, decay: float = 1e-4) -> Model:
         label = label_of(use, *classes, lexicon.base.get(script, 1))
         if label is not None:
             rows.append((places(Candidate(0, None, prev, before, nxt, what, mark, gap), script, *classes), label, 1))
-    return Model(lexicon, fit_weights(rows + settled_rows(settled.items()), rounds, decay))
+    return Model(lexicon, fit_weights(rows + settled_rows(settled.items()), rounds, decay), languages)
 
 
 def settled_rows(counts: Iterable[tuple[tuple, int]]) -> list[tuple[list[int], int, int]]:
@@ -540,10 +668,11 @@ def sentence_ends(text: str, model: Model) -> list[int]:
     if not text or text.isspace():
         return []
     script = script_of(text)
+    language = language_of(text, script, model.languages)
     ends: list[int] = []
     for start, stop in paragraphs(text):
         for c in candidates(text, start, stop, script):
-            if c.end > start and (not ends or c.end > ends[-1]) and model.decide(c, script):
+            if c.end > start and (not ends or c.end > ends[-1]) and model.decide(c, language):
                 ends.append(c.end)
     return ends
 
@@ -574,12 +703,12 @@ def split_sentences(df: DataFrame, ident: str, text: str, model: Model | None =
     return rows.mapInPandas(split, "id string, end_pos int").distinct().select(F.col("id").cast(kind_of).alias(ident), "end_pos")
 
 
-_KEY = ["script", "prev", "before", "next", "next_kind", "mark", "gap"]
+_KEY = ["language", "prev", "before", "next", "next_kind", "mark", "gap"]
 _COUNTS = ["n_marked", "n_final", "n_seen", "n_next", "n_initial", "n_low"]
 
 
-def candidate_rows(rows: DataFrame) -> DataFrame:
-    """id, end_pos, use, sure, script and tokens of all candidates of ``rows`` (id, text), and training examples, which a task
+def candidate_rows(rows: DataFrame, languages: Languages) -> DataFrame:
+    """id, end_pos, use, sure, language and tokens of all candidates of ``rows`` (id, text), and training examples, which a task
     hands on once for each context; ``context`` is a hash. Settled candidates carry no tokens."""
     names = ["id", "end_pos", "use", "sure", *_KEY, "token", "low", "context"]
     types = [pa.string(), pa.int32(), pa.int32(), pa.bool_(), *[pa.string()] * (len(_KEY) + 2), pa.int64()]
@@ -592,7 +721,7 @@ def candidate_rows(rows: DataFrame) -> DataFrame:
                 if not text or text.isspace():
                     continue
                 last = 0
-                for use, c, script, context in read_candidates(text):
+                for use, c, script, context in read_candidates(text, languages):
                     if use == SETTLED:
                         if c.end > last:
                             out.append((i, c.end, use, c.sure, script, None, None, None, c.next_kind, c.mark[:1], c.gap, None, None, None))
@@ -614,9 +743,9 @@ def candidate_rows(rows: DataFrame) -> DataFrame:
 
 def with_counts(rows: DataFrame, counted: DataFrame) -> DataFrame:
     """``rows`` of open candidates and examples with what the lexicon says of their tokens, joined."""
-    of = lambda key, **columns: counted.select(F.col("language").alias("script"), F.col("token").alias(key), *(F.col(c).alias(n) for n, c in columns.items()))
+    of = lambda key, **columns: counted.select("language", F.col("token").alias(key), *(F.col(c).alias(n) for n, c in columns.items()))
     for part in (of("token", n_marked="marked", n_final="final", n_seen="seen"), of("next", n_next="seen", n_initial="initial"), of("low", n_low="seen")):
-        rows = rows.join(part, ["script", part.columns[1]], "left")
+        rows = rows.join(part, ["language", part.columns[1]], "left")
     return rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in _COUNTS})
 
 
@@ -627,7 +756,7 @@ def classes_of(nxt: str, marked: int, final: int, seen: int, n: int, initial: in
 def fit_rows(settled: DataFrame, examples: DataFrame, base: dict[str, float], most: int) -> np.ndarray:
     """The weights, from the counts of all settled candidates by their features, and of the distinct contexts of ``examples``
     (see ``with_counts``) at most ``most``, those of smallest hash; so they don't depend on row order."""
-    kinds = settled.groupBy("script", "sure", "mark", "next_kind", "gap").agg(F.count("*").alias("n")).collect()
+    kinds = settled.groupBy("language", "sure", "mark", "next_kind", "gap").agg(F.count("*").alias("n")).collect()
     each = examples.groupBy("use", "context").agg(F.min(F.struct(*_KEY, *_COUNTS)).alias("x")).withColumn("h", F.pmod(F.xxhash64("context"), F.lit(1 << 30)))
     n = examples.agg(F.approx_count_distinct("context")).first()[0]
     some = each.where(F.col("h") < min(1 << 30, -(-3 * most * (1 << 30) // max(n, 1)))).orderBy("h", "context", "use").limit(most)
@@ -652,8 +781,9 @@ def _split_with_own_lexicon(rows: DataFrame, most: int | None = None) -> DataFra
 
     A later candidate of a text always ends later, so each is decided by itself.
     """
-    counted = checkpointed(count_lexicon(rows, "text"))
-    found = checkpointed(candidate_rows(rows))
+    languages = count_languages(rows, "text")
+    counted = checkpointed(count_lexicon(rows, "text", languages))
+    found = checkpointed(candidate_rows(rows, languages))
     settled, joined = found.where(F.col("use") == SETTLED), checkpointed(with_counts(found.where(F.col("use") != SETTLED), counted))
     base = base_rates(counted)
     weights = fit_rows(settled, joined, base, LABELLED if most is None else most)

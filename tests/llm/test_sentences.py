@@ -91,8 +91,10 @@ def test_lexicon_has_all_texts(spark, model, monkeypatch):
     texts = [make(r, 8)[0] for _ in range(120)]
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts + texts[:9])], "rev_id string, content string")
     monkeypatch.setattr(sentences, "HELD", 300)
-    counted = sentences.count_lexicon(df, "content").collect()
-    whole = sentences.read_lexicon(texts)
+    languages = sentences.count_languages(df, "content")
+    assert languages == sentences.read_languages(texts + texts[:9])
+    counted = sentences.count_lexicon(df, "content", languages).collect()
+    whole = sentences.read_lexicon(texts, languages)
     assert {(x.language, x.token): (x.seen, x.marked, x.final, x.initial) for x in counted} == {
         k: (whole.seen[k], whole.marked[k], whole.final[k], whole.initial[k]) for k in {*whole.seen, *whole.marked, *whole.initial}
     }
@@ -107,7 +109,7 @@ def test_lexicon_has_all_texts(spark, model, monkeypatch):
 
 def test_every_candidate_is_classified(model):
     """Without weights nothing is a boundary, not even what its context settles."""
-    nothing = sentences.Model(model.lexicon, model.weights * 0)
+    nothing = sentences.Model(model.lexicon, model.weights * 0, model.languages)
     assert sentences.sentence_ends("Who built it? He did.\n\nสะพาน", nothing) == []
     assert sentences.sentence_ends("สะพาน อยู่ที่นี่", nothing) == []
 
@@ -122,6 +124,21 @@ def test_marks_from_unicode_data(model):
     assert sentences.script_of("བོད་ཡིག") == "tibetan" and sentences.script_of("ქართული") not in sentences.CASED and "armenian" in sentences.CASED
 
 
+def test_languages_from_the_corpus(spark):
+    r = random.Random(16)
+    words = {"en": "the of and in was a is its to at".split(), "de": "der die und im wurde ist nicht am das in".split(), "fr": "le la et les dans une fut est du des".split(), "ru": "и в на не что он".split()}
+    texts = []
+    for i in range(400):
+        k = "en" if i % 2 else r.choice(list(words))
+        texts.append((k, " ".join(r.choice(words[k]) if r.random() < 0.5 else r.choice("mill river town bridge road".split()) for _ in range(60))))
+    df = spark.createDataFrame(texts + [("none", None), ("none", "")], "k string, content string")
+    languages = sentences.count_languages(df, "content")
+    assert languages == sentences.read_languages([t for _, t in texts])
+    found = {(k, sentences.language_of(t, sentences.script_of(t) if k != "ru" else "cyrillic", languages)) for k, t in texts}
+    assert len(found) == 4 and len({x for _, x in found}) == 4
+    assert sentences.count_languages(df.limit(0), "content") == {}
+
+
 def test_long_tokens_are_whole(model):
     word = "Zusammen" * 20
     c = next(c for c in sentences.candidates(f"Es war {word}. {word} war", 0, 2 * len(word) + 13, "latin") if c.mark)
