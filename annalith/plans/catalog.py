@@ -385,7 +385,7 @@ def year_end_snapshots(spark, d):
 
 
 @query(f"""WITH {R_}, w AS (SELECT DISTINCT page_id, rev_id AS wanted FROM split_requests WHERE page_id IS NOT NULL),
-l AS (SELECT page_id, arg_max(rev_id, (ts, pos, rev_id)) AS latest FROM v GROUP BY page_id)
+l AS (SELECT page_id, arg_max(rev_id, (ts, pos, rev_id)) AS latest FROM v GROUP BY page_id),
 c AS (SELECT w.page_id, w.wanted, coalesce(v.rev_id, l.latest) AS rev_id FROM w JOIN l USING (page_id) LEFT JOIN v ON v.page_id = w.page_id AND v.rev_id = w.wanted)
 SELECT c.page_id, c.wanted, c.rev_id, md5(coalesce(content, '')) AS digest FROM c JOIN v USING (page_id, rev_id)""")
 def reconstruct_revision(spark, d):
