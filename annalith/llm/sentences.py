@@ -216,7 +216,11 @@ def count_languages(df: DataFrame, text: str) -> Languages:
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(a), pa.string()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(n[a, b].astype(np.int64))], ["script", "a", "b", "n"])
 
     found = df.where(F.col(text).isNotNull()).select(text).mapInArrow(meetings, "script string, a int, b int, n long").groupBy("script", "a", "b").agg(F.sum("n").alias("n"))
-    both = {(words_of[r["script"]][r["a"]], words_of[r["script"]][r["b"]]): r["n"] for r in found.collect()}
+    enough = F.lit(False)  # those that hardly ever meet count as never
+    for k in words_of:
+        n_of = F.array(*(F.lit(r["n"]) for r in top if r["script"] == k))
+        enough = F.when(F.col("script") == k, 50 * F.col("n") >= F.least(F.get(n_of, F.col("a")), F.get(n_of, F.col("b")))).otherwise(enough)
+    both = {(words_of[r["script"]][r["a"]], words_of[r["script"]][r["b"]]): r["n"] for r in found.where(enough).collect()}
     return group_words({r["word"]: r["n"] for r in top}, both)
 
 
@@ -264,13 +268,16 @@ def _next(text: str, at: int, stop: int) -> tuple[str, str, str]:
 
 def _before(text: str, begun: int, at: int) -> tuple[str, str]:
     """The last token before ``at`` and the one before that, not from before ``begun``."""
-    start = max(begun, at - 2 * NEAR)
-    while start > begun and not text[start - 1].isspace():
-        start -= 1
-    head = text[start:at].rstrip(TAIL + " ")
-    last = LAST_WORD.search(head)
-    rest = head[: last.start()].rstrip() if last else head
-    before = LAST_WORD.search(rest.rstrip("."))
+    low = max(begun, at - 10 * NEAR)
+    while low > begun and not text[low - 1].isspace():
+        low -= 1
+    head = text[low:at].rstrip(TAIL + " ")
+    start = len(head)
+    for _ in range(3):  # an abbreviation may have a space inside
+        start = max(head.rfind(" ", 0, start), head.rfind("\n", 0, start), head.rfind("\t", 0, start), 0)
+    near = head[start:]
+    last = LAST_WORD.search(near)
+    before = LAST_WORD.search((near[: last.start()] if last else near).rstrip().rstrip("."))
     return last.group() if last else "", before.group() if before else ""
 
 
@@ -341,7 +348,8 @@ def candidates(text: str, start: int, stop: int, script: str) -> Iterator[Candid
             sure = True
         else:
             sure = None
-        c = Candidate(end, sure, *_before(text, begun, i), word, what, mark, "line" if "\n" in gap else "space" if len(gap) == 1 else "wide" if gap else "none")
+        prev, before = _before(text, begun, i) if sure is None or what == "lower" else ("", "")
+        c = Candidate(end, sure, prev, before, word, what, mark, "line" if "\n" in gap else "space" if len(gap) == 1 else "wide" if gap else "none")
         if sure:
             begun = end
         yield c
@@ -753,10 +761,17 @@ def classes_of(nxt: str, marked: int, final: int, seen: int, n: int, initial: in
     return prev_class(marked, final, base), marked >= 0.9 * seen, next_class(nxt, low, n, initial)
 
 
-def fit_rows(settled: DataFrame, examples: DataFrame, base: dict[str, float], most: int) -> np.ndarray:
-    """The weights, from the counts of all settled candidates by their features, and of the distinct contexts of ``examples``
-    (see ``with_counts``) at most ``most``, those of smallest hash; so they don't depend on row order."""
-    kinds = settled.groupBy("language", "sure", "mark", "next_kind", "gap").agg(F.count("*").alias("n")).collect()
+_SETTLED = ["language", "sure", "mark", "next_kind", "gap"]
+
+
+def settled_kinds(settled: DataFrame) -> list[tuple[tuple, int]]:
+    """The features of settled candidates and how many have them; there are at most languages x marks x classes of these."""
+    return sorted((tuple(r[:5]), r["n"]) for r in settled.groupBy(*_SETTLED).agg(F.count("*").alias("n")).collect())
+
+
+def fit_rows(settled: list[tuple[tuple, int]], examples: DataFrame, base: dict[str, float], most: int) -> np.ndarray:
+    """The weights, from the counts of settled candidates by their features (see ``settled_kinds``), and of the distinct contexts
+    of ``examples`` (see ``with_counts``) at most ``most``, those of smallest hash; so they don't depend on row order."""
     each = examples.groupBy("use", "context").agg(F.min(F.struct(*_KEY, *_COUNTS)).alias("x")).withColumn("h", F.pmod(F.xxhash64("context"), F.lit(1 << 30)))
     n = examples.agg(F.approx_count_distinct("context")).first()[0]
     some = each.where(F.col("h") < min(1 << 30, -(-3 * most * (1 << 30) // max(n, 1)))).orderBy("h", "context", "use").limit(most)
@@ -767,7 +782,7 @@ def fit_rows(settled: DataFrame, examples: DataFrame, base: dict[str, float], mo
         label = label_of(r["use"], *classes, base.get(script, 1))
         if label is not None:
             rows.append((places(Candidate(0, None, prev, before, nxt, what, mark, gap), script, *classes), label, 1))
-    return fit_weights(rows + settled_rows((tuple(r[:5]), r["n"]) for r in sorted(kinds)))
+    return fit_weights(rows + settled_rows(settled))
 
 
 def base_rates(counted: DataFrame) -> dict[str, float]:
@@ -786,8 +801,12 @@ def _split_with_own_lexicon(rows: DataFrame, most: int | None = None) -> DataFra
     found = checkpointed(candidate_rows(rows, languages))
     settled, joined = found.where(F.col("use") == SETTLED), checkpointed(with_counts(found.where(F.col("use") != SETTLED), counted))
     base = base_rates(counted)
-    weights = fit_rows(settled, joined, base, LABELLED if most is None else most)
+    kinds = settled_kinds(settled)
+    weights = fit_rows(kinds, joined, base, LABELLED if most is None else most)
     shared = rows.sparkSession.sparkContext.broadcast((weights, base))
+    # candidates of equal features are decided alike, so settled ones are decided by their few kinds
+    ends = [k for k, _ in kinds if float(weights[settled_places(*k)].sum()) > 0]
+    of_kind = rows.sparkSession.createDataFrame(ends, "language string, sure boolean, mark string, next_kind string, gap string")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, base = shared.value
@@ -798,16 +817,12 @@ def _split_with_own_lexicon(rows: DataFrame, most: int | None = None) -> DataFra
                 known.clear()
             for key in zip(*(b.column(k).to_pylist() for k in range(2, b.num_columns))):
                 if key not in known:
-                    sure, script, prev, before, nxt, what, mark, gap, *counts = key
-                    if sure is not None:
-                        at = settled_places(script, sure, mark, what, gap)
-                    else:
-                        at = places(Candidate(0, None, prev, before, nxt, what, mark, gap), script, *classes_of(nxt, *counts, base.get(script, 0.1)))
+                    language, prev, before, nxt, what, mark, gap, *counts = key
+                    at = places(Candidate(0, None, prev, before, nxt, what, mark, gap), language, *classes_of(nxt, *counts, base.get(language, 0.1)))
                     known[key] = float(weights[at].sum()) > 0
                 keep.append(known[key])
             yield b.filter(pa.array(keep, pa.bool_())).select(["id", "end_pos"])
 
-    columns = ["id", "end_pos", "sure", *_KEY]
-    none = [F.lit(None).cast("long").alias(c) for c in _COUNTS]
-    every = settled.select(*columns, *none).unionByName(joined.where(F.col("use") == OPEN).select(*columns, *_COUNTS))
-    return every.mapInArrow(decide, "id string, end_pos int")
+    by_kind = settled.join(F.broadcast(of_kind), _SETTLED, "left_semi").select("id", "end_pos")
+    opened = joined.where(F.col("use") == OPEN).select("id", "end_pos", *_KEY, *_COUNTS)
+    return by_kind.unionByName(opened.mapInArrow(decide, "id string, end_pos int"))
