@@ -122,15 +122,15 @@ def fold_merges(ranks: Column, piece: Column) -> Column:
 
 
 def one_text(df: DataFrame, ident: str, text: str) -> DataFrame:
-    """id, text: one row for each identifier; of several texts the greatest counts, and none is the empty one.
+    """id, text: one row for each identifier; of several texts the greatest counts.
 
     Identifiers are counted first, without texts; only if one comes twice do the texts travel. The filter holds for every row.
     It keeps the optimizer from merging what follows into the aggregate, where constants would be carried by each row.
     """
-    rows = df.select(F.col(ident).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    rows = df.select(F.col(ident).alias("id"), F.col(text).alias("text"))
     if rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return rows
-    return rows.groupBy("id").agg(F.max("text").alias("text")).where(F.octet_length("text") >= 0)
+    return rows.groupBy("id").agg(F.max("text").alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) >= 0)
 
 
 def pieces_of(text: Column) -> Column:
@@ -171,7 +171,7 @@ def _looked_up(df: DataFrame, ident: str, text: str, name: str, folder: str, fre
     encoded = checkpointed(encoded_pieces(df.select(text), text, constant_map(table, "token", "rank")))
     entries = table.select(F.col("token").cast("string").alias("piece"), F.array("rank").alias("ids")).unionByName(frequent_pieces(encoded, frequent).select("piece", "ids"))
     known = constant_map(entries.select("piece", ids(F.col("ids")).alias("ids")), "piece", "ids")
-    pieces = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(pieces_of(F.col("text")))
+    pieces = F.coalesce(pieces_of(F.col("text")), F.array().cast("array<string>"))  # names the text once, see with_constants
     found = lambda k: F.transform(pieces, lambda t: F.struct(value_of(k, t).alias("ids"), t.alias("piece")))
     return with_constants(one_text(df, ident, text), found, "found", known=known).select("id", "found"), encoded
 

@@ -56,3 +56,13 @@ def test_empty_and_null_identifier(spark):
     assert tokens.encode_texts(df, "doc_id", "text").collect() == []
     one = spark.createDataFrame([(None, "hello")], "doc_id long, text string")
     assert [len(x.ids) for x in tokens.encode_texts(one, "doc_id", "text").collect()] == [1]
+
+
+def test_no_row_carries_a_constant(spark):
+    df = spark.createDataFrame([(1, "a mill"), (2, None)], "doc_id long, text string")
+    ranks = tokens.constant_map(tokens.rank_table(spark, tokens.read_ranks()), "token", "rank")
+    plans = [tokens.encoded_pieces(df, "text", ranks)]
+    plans += [tokens._looked_up(rows, "doc_id", "text", "byte_bpe_50k", tokens.FOLDER, 10, lambda x: x)[0] for rows in (df, df.union(df))]
+    for p in plans:
+        optimized = p._jdf.queryExecution().optimizedPlan().toString()
+        assert " AS _ranks" not in optimized and " AS _known" not in optimized and "scalar-subquery" in optimized
