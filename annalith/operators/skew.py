@@ -4,12 +4,14 @@ Rows are range-partitioned on the composite key and a secondary order, with boun
 quantiles. The secondary order is part of the range, so a heavy key is cut into as many ranges as its share asks for and
 no task gets more than about its share of rows. Each range then holds whole (key, order) groups, which are reduced in
 place; what a key has in each of its ranges is a partial state, and those few states are stitched by a second aggregation.
+Copies of a row, which no range can part, are merged before the exchange, batch by batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +19,19 @@ from annalith.session import shuffle_partitions
 from annalith.sources.tables import folded_word
 
 
+def copies_merged(df: DataFrame) -> DataFrame:
+    """``df`` without the copies of a row within an Arrow batch, so that a row delivered very often doesn't make a range heavy."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from pa.Table.from_batches([b]).group_by(b.schema.names).aggregate([]).select(b.schema.names).to_batches()
+
+    return df.mapInArrow(distinct, df.schema)
+
+
 def range_split(df: DataFrame, keys: Sequence[str], order: Sequence[str], partitions: int | None = None) -> DataFrame:
     """``df`` in ranges of (keys, order). Equal (keys, order) never part; equal keys may."""
-    return df.repartitionByRange(partitions or shuffle_partitions(df.sparkSession), *keys, *order)
+    return copies_merged(df).repartitionByRange(partitions or shuffle_partitions(df.sparkSession), *keys, *order)
 
 
 def skewed_aggregate(
@@ -37,7 +49,7 @@ def skewed_aggregate(
     there are at most (number of keys + number of ranges).
 
     Null keys form a group of their own, as in GROUP BY; an empty table gives an empty result; repeated rows are what
-    ``record`` is there to merge; other columns of ``df`` are ignored.
+    ``record`` is there to merge, and it must not count them; other columns of ``df`` are ignored.
     """
     ranged = range_split(df, keys, order, partitions)
     whole = [*keys, *order]

@@ -50,3 +50,11 @@ def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert skew.diff_totals(df).collect() == []
     assert skew.heavy_keys(skew.article_counts(df)).collect() == []
+
+
+def test_copies_are_merged_before_the_exchange(spark):
+    df = spark.range(50_000).selectExpr("2012 AS year", "'mill' AS word", "if(id % 10000 = 0, cast(id AS string), 'same') AS article", "cast(null AS int) AS added", "1 AS removed", "timestamp'2020-01-01' AS emitted_at").coalesce(1)
+    assert skew.copies_merged(df).count() < 50
+    assert [tuple(r) for r in skew.article_counts(df).collect()] == [(2012, "mill", 6)]
+    assert tuple(skew.diff_totals(df).first()) == (2012, "mill", 0, 6, 6, 0, 6)
+    assert skew.copies_merged(df.limit(0)).collect() == []
