@@ -174,7 +174,7 @@ def close_pairs(df: DataFrame, basket: str, text: str, min_length: int = 5, wind
                 yield rows(0, item=list(counts), n=list(counts.values()))
                 counts.clear()
             if hot_rows:
-                for kind, size in ((2, 2), (3, 3)):  # items, and pairs as "a b"
+                for kind, size in ((4, 1), (2, 2), (3, 3)):  # the basket itself, as it may have no items; items, and pairs as "a b"
                     part = [x for x in hot_rows if len(x) == size]
                     if part:
                         yield rows(kind, b=[x[0] for x in part], item=[" ".join(x[1:]) for x in part])
@@ -185,6 +185,7 @@ def close_pairs(df: DataFrame, basket: str, text: str, min_length: int = 5, wind
             ids = {i: k for k, i in enumerate(distinct)}
             codes = close_codes([np.array([ids[i] for i in t], np.int64) for t in texts], window)
             if is_hot:
+                hot_rows.add((name,))
                 hot_rows.update((name, i) for i in distinct)
                 hot_rows.update((name, distinct[c >> 32], distinct[c & 0xFFFFFFFF]) for c in codes.tolist())
             else:
@@ -271,7 +272,7 @@ def close_pairs(df: DataFrame, basket: str, text: str, min_length: int = 5, wind
 
 def _hot_classes(first: DataFrame) -> DataFrame:
     """n, s, q of the hot baskets, brought together by class; there are at most as many classes as of others."""
-    each = first.where("kind IN (2, 3)").groupBy("b").agg(F.count_if(F.col("kind") == 2).cast("double").alias("s"), F.count_if(F.col("kind") == 3).alias("m"))
+    each = first.where("kind IN (2, 3, 4)").groupBy("b").agg(F.count_if(F.col("kind") == 2).cast("double").alias("s"), F.count_if(F.col("kind") == 3).alias("m"))
     each = each.select("s", (F.col("m") / F.greatest(F.lit(1.0), F.col("s") * (F.col("s") - 1) / 2)).alias("q"))
     step = lambda c, size: F.floor(F.log(c) / math.log(size))
     return each.groupBy(F.when(F.col("s") >= 1, step(F.col("s"), SIZE_STEP)), F.when(F.col("q") > 0, step(F.col("q"), CLOSE_STEP))).agg(F.count("*").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
